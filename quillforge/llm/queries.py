@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quillforge.llm import wu_manber
+from quillforge.llm import packing, topk, wu_manber
 
 QUERIES = {
+    "op3_block_top_k": topk.op3_block_top_k,
+    "op4_best_fit": packing.op4_best_fit,
     "op8_wu_manber": wu_manber.op8_wu_manber,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_block_top_k": topk.ORACLE_SQL,
+}
