@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillforge.llm import packing, topk, wu_manber
+from quillforge.llm import packing, pii, topk, wu_manber
 
 QUERIES = {
     "op3_block_top_k": topk.op3_block_top_k,
     "op4_best_fit": packing.op4_best_fit,
+    "op7_deobfuscation": pii.op7_deobfuscation,
     "op8_wu_manber": wu_manber.op8_wu_manber,
 }
 

