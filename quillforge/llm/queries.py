@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillforge.llm import packing, pii, topk, wu_manber
+from quillforge.llm import packing, pii, topk, url_tree, wu_manber
 
 QUERIES = {
+    "op2_path_templates": url_tree.op2_path_templates,
     "op3_block_top_k": topk.op3_block_top_k,
     "op4_best_fit": packing.op4_best_fit,
     "op7_deobfuscation": pii.op7_deobfuscation,
