@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillforge.llm import packing, pii, topk, url_tree, wu_manber
+from quillforge.llm import packing, pii, topk, toxicity, url_tree, wu_manber
 
 QUERIES = {
+    "op1_segments": toxicity.op1_segments,
     "op2_path_templates": url_tree.op2_path_templates,
     "op3_block_top_k": topk.op3_block_top_k,
     "op4_best_fit": packing.op4_best_fit,
