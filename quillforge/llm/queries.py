@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.llm import packing, pii, topk, toxicity, url_tree, wu_manber
+from quillforge.llm import packing, pii, quality, topk, toxicity, url_tree, wu_manber
 
 QUERIES = {
     "op1_segments": toxicity.op1_segments,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit": packing.op4_best_fit,
     "op7_deobfuscation": pii.op7_deobfuscation,
     "op8_wu_manber": wu_manber.op8_wu_manber,
+    "op9_empirical_bayes": quality.op9_empirical_bayes,
 }
 
 ORACLE_SQL: dict[str, str] = {
