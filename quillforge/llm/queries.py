@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.llm import packing, pii, quality, topk, toxicity, url_tree, wu_manber
+from quillforge.llm import jaccard_join, packing, pii, quality, topk, toxicity, url_tree, wu_manber
 
 QUERIES = {
     "op1_segments": toxicity.op1_segments,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_deobfuscation": pii.op7_deobfuscation,
     "op8_wu_manber": wu_manber.op8_wu_manber,
     "op9_empirical_bayes": quality.op9_empirical_bayes,
+    "op10_divide_skip": jaccard_join.op10_divide_skip,
 }
 
 ORACLE_SQL: dict[str, str] = {
