@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillforge.llm import jaccard_join, packing, pii, quality, topk, toxicity, url_tree, wu_manber
+from quillforge.llm import jaccard_join, packing, pii, quality, topk, toxicity, url_tree, warc_zip, wu_manber
 
 QUERIES = {
     "op1_segments": toxicity.op1_segments,
     "op2_path_templates": url_tree.op2_path_templates,
     "op3_block_top_k": topk.op3_block_top_k,
     "op4_best_fit": packing.op4_best_fit,
+    "op5_zip_ranges": warc_zip.op5_zip_ranges,
     "op7_deobfuscation": pii.op7_deobfuscation,
     "op8_wu_manber": wu_manber.op8_wu_manber,
     "op9_empirical_bayes": quality.op9_empirical_bayes,
