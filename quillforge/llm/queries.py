@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.llm import jaccard_join, packing, pii, quality, topk, toxicity, url_tree, warc_zip, wu_manber
+from quillforge.llm import jaccard_join, packing, pii, quality, repeats, topk, toxicity, url_tree, warc_zip, wu_manber
 
 QUERIES = {
     "op1_segments": toxicity.op1_segments,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_block_top_k": topk.op3_block_top_k,
     "op4_best_fit": packing.op4_best_fit,
     "op5_zip_ranges": warc_zip.op5_zip_ranges,
+    "op6_interleave": repeats.op6_interleave,
     "op7_deobfuscation": pii.op7_deobfuscation,
     "op8_wu_manber": wu_manber.op8_wu_manber,
     "op9_empirical_bayes": quality.op9_empirical_bayes,
