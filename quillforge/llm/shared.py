@@ -22,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Bytes of one batch that goes to a Python worker: several copies of it are alive at once, in the executor and in the worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, since rows hold whole texts or packed arrays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().getConfString(key, "0").lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read again from the shared folder; a lost executor costs no more than that read."""
     shared_dir(df.sparkSession)
