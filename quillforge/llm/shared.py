@@ -29,7 +29,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches by bytes, since rows hold whole texts or packed arrays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jsparkSession.sessionState().conf().getConfString(key, "0").lower().rstrip("b")
+    now = spark.conf.get(key).lower().rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(key, BATCH_BYTES)
 
