@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillforge.plans import oracle, tournament
+from quillforge.plans import audits, oracle, tournament
 
-QUERIES = {**tournament.QUERIES}
-ORACLE_SQL = {**oracle.ORACLE_SQL}
+QUERIES = {**tournament.QUERIES, **audits.QUERIES}
+ORACLE_SQL = {**oracle.ORACLE_SQL, **audits.ORACLE_SQL}
+#: Queries that SQL can't express.
+WITHOUT_SQL: tuple[str, ...] = ()
