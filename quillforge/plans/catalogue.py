@@ -7,4 +7,4 @@ from quillforge.plans import audits, oracle, tournament
 QUERIES = {**tournament.QUERIES, **audits.QUERIES}
 ORACLE_SQL = {**oracle.ORACLE_SQL, **audits.ORACLE_SQL}
 #: Queries that SQL can't express.
-WITHOUT_SQL = ("paragraph_repair",)
+WITHOUT_SQL = ("html_to_markdown", "paragraph_repair")

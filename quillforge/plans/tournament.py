@@ -10,6 +10,7 @@ from quillforge.operators import ranking as r
 from quillforge.operators.repair import repair_candidates
 from quillforge.operators.traits import html_traits, text_traits
 from quillforge.sources.candidates import candidates, text_to_markdown
+from quillforge.sources.html import convert_pages
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +115,7 @@ QUERIES = {
     "promotion": _promotion,
     "observations": observations,
     "matrix_grouping_sets": lambda s, d: matrix(s, d).select("bucket", "adapter", "attempts", "total_pages", "raw_successes", "gate_passes", "wins", "total_ms", "median_ms", F.round("mean_score", 6).alias("mean_score"), F.round("pages_per_second", 6).alias("pages_per_second")),
+    "html_to_markdown": lambda s, d: convert_pages(s.read.parquet(f"{d}/pages.parquet")),
     "paragraph_repair": lambda s, d: repair_candidates(cands(s, d).where("status = 'ok'")),
     "quality_tiers": lambda s, d: (lambda m: m.select("bucket", "adapter", r.quality_tier(m["mean_score"], m["gate_pass_rate"]).alias("quality_tier"), r.default_signal(m).alias("default_set_signal")))(matrix(s, d)),
 }
