@@ -22,8 +22,8 @@ def strip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Like splitlines(): an end of line at the end of the text opens no further line."""
-    parts = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    rows = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")
+    return let(rows, lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def words(c: Column) -> Column:
