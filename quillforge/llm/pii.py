@@ -12,6 +12,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -160,19 +161,27 @@ def _ascii_form(c: str) -> str | None:
 _ODD = re.compile(f"[{_HIDDEN}{''.join(map(re.escape, _MARKS))}ıɡℓͰ-ϿЀ-ԯ٠-٩۰-۹०-९！-～⁰-₟①-⓿\U0001d400-\U0001d7ff]")
 _DIGIT_OF = {w: d for d, words in _SPELLED.items() for w in words.split()}
 _WORD = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
-_SPELLED_RUN = re.compile(rf"(?i)(?:\bplus[\s-]+)?\b(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD})\b){{6,}}")
-_SPELLED_WORD = re.compile(rf"(?i)\b(?:plus[\s-]+)?(?:{_WORD})\b")
+_PLUS = r"(?:(?:\bplus\b|\+)[\s-]*+)"
+_SPELLED_WORD = re.compile(rf"(?i)\b(?:{_WORD})\b")
+#: a spelled digit or a number, and what may stand between two of them
+_TOKEN = re.compile(rf"(?i)(?P<plus>{_PLUS})?+(?:\b(?P<word>{_WORD})\b|(?P<number>[0-9]++))")
+_BETWEEN = rf"(?:[\s,.()\[\]{{}}<>-]|\b(?:{_DOT_WORDS})\b)*+"
+_DIGITS_MIXED = re.compile(rf"(?i){_PLUS}?+(?:\b(?:{_WORD})\b|[0-9]++)(?:{_BETWEEN}{_PLUS}?+(?:\b(?:{_WORD})\b|[0-9]++))++")
+#: what is dropped between spelled digits; the end of a sentence; what can be a dot of an address
+_JOINT, _STOP, _ANY_DOT = re.compile(r"[\s,.-]{1,3}"), re.compile(r"[,.]\s"), re.compile(rf"(?i)\.|\b(?:{_DOT_WORDS})\b")
+#: digits without which nothing is a card or a phone number; digits and dots without which nothing is an address
+_LEAST_DIGITS, _LEAST_IP = 10, (4, 3)
 _BRACKET_AT = rf"\s{{0,3}}[\(\[\{{<]\s{{0,3}}(?:{_AT_WORDS}|@)\s{{0,3}}[\)\]\}}>]\s{{0,3}}"
 _BRACKET_DOT = rf"\s{{0,3}}[\(\[\{{<]\s{{0,3}}(?:{_DOT_WORDS}|\.)\s{{0,3}}[\)\]\}}>]\s{{0,3}}"
 _DOT = rf"(?:{_BRACKET_DOT}|\s{{1,3}}(?:{_DOT_WORDS})\s{{1,3}})"
-_AT = re.compile(rf"(?i)(?P<b>{_BRACKET_AT})|\s{{1,3}}(?:{_AT_WORDS})\s{{1,3}}|@")
+_AT = re.compile(rf"(?i)(?P<b>{_BRACKET_AT})|\s{{1,3}}(?:{_AT_WORDS})\s{{1,3}}|[^\S\r\n]{{0,3}}@[^\S\r\n]{{0,3}}")
 _DOT_RE = re.compile(f"(?i){_DOT}")
 _DOMAIN_DISGUISED = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[a-z0-9-]{{1,63}}){{0,8}}(?:\.|{_DOT})[a-z]{{2,63}}(?![a-z0-9-])")
 _LOCAL_DISGUISED = re.compile(rf"(?i)[a-z0-9._%+-]+(?:{_DOT}[a-z0-9._%+-]+)*$")
 _IP_DISGUISED = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
 #: one of these is in every text that the third transducer changes
 _HINTS = tuple(f"{o}{w}" for w in [*_DOT_WORDS.split("|"), *_AT_WORDS.split("|"), ".", "@"] for o in "([{<") + tuple(f" {w} " for w in _DOT_WORDS.split("|"))
-_SPACED = re.compile(rf"(?i)[\(\[\{{<]\s{{1,3}}(?:{_AT_WORDS}|{_DOT_WORDS}|[.@])|\s(?:{_DOT_WORDS})\s")
+_SPACED = re.compile(rf"(?i)[\(\[\{{<]\s{{1,3}}(?:{_AT_WORDS}|{_DOT_WORDS}|[.@])|\s(?:{_DOT_WORDS})\s|\s@|@\s")
 #: characters before an "at" that the local part may take up
 _REACH = 96
 
@@ -181,27 +190,50 @@ def look_alikes(t: Rewritten) -> Rewritten:
     return t.apply([(m.start(), m.end(), k) for m in _ODD.finditer(t.text) if (k := _ascii_form(m[0])) is not None])
 
 
-def spelled_digits(t: Rewritten) -> Rewritten:
+def _segments(text: str) -> Iterator[list[re.Match]]:
+    """Tokens that stand together, spelled digits among them, and have the digits and dots that a detector needs."""
+    for run in _DIGITS_MIXED.finditer(text):
+        if not _SPELLED_WORD.search(text, run.start(), run.end()):
+            continue
+        segment: list[re.Match] = []
+        for m in [*_TOKEN.finditer(text, run.start(), run.end()), None]:
+            # a number and a spelled digit in the next sentence or clause are apart
+            if segment and (m is None or (m["word"] is None) != (segment[-1]["word"] is None) and _STOP.search(text, segment[-1].end(), m.start())):
+                digits = sum(len(x["number"] or "1") for x in segment)
+                if any(x["word"] for x in segment) and (digits >= _LEAST_DIGITS or digits >= _LEAST_IP[0] and len(_ANY_DOT.findall(text, segment[0].start(), segment[-1].end())) >= _LEAST_IP[1]):
+                    yield segment
+                segment = []
+            if m is not None:
+                segment.append(m)
+
+
+def spelled_digits(t: Rewritten, segments: list[list[re.Match]], dotted: bool = False) -> Rewritten:
+    """What joins spelled digits is dropped, but with `dotted` not a bare full stop; what stands beside a number stays."""
     edits = []
-    for run in _SPELLED_RUN.finditer(t.text):
-        last = run.start()
-        for m in _SPELLED_WORD.finditer(t.text, run.start(), run.end()):
-            word = m[0].lower()
-            plus = word.startswith("plus")
-            digit = _DIGIT_OF[re.split(r"[\s-]+", word)[-1]]
-            edits.append((last, m.end(), "+" * plus + digit))
-            last = m.end()
+    for segment in segments:
+        before = None
+        for m in segment:
+            start = m.start()
+            if m["word"]:
+                if before is not None and before["word"] and not m["plus"]:
+                    gap = t.text[before.end() : start]
+                    if _JOINT.fullmatch(gap) and not (dotted and gap == "."):
+                        start = before.end()
+                edits.append((start, m.end(), "+" * bool(m["plus"]) + _DIGIT_OF[m["word"].lower()]))
+            elif m["plus"]:
+                edits.append((start, m.start("number"), "+"))
+            before = m
     return t.apply(edits)
 
 
 def at_and_dot(t: Rewritten) -> Rewritten:
-    """An "at" in brackets needs a domain after it that ends in letters; a bare one also a disguised dot."""
+    """An "at" in brackets and a "@" with spaces need a domain after them that ends in letters; a bare "at" also a disguised dot."""
     text, edits, last = t.text, [], 0
     for m in _AT.finditer(text):
         if m.start() < last or not (d := _DOMAIN_DISGUISED.match(text, m.end())):
             continue
         dots = [(x.start(), x.end(), ".") for x in _DOT_RE.finditer(text, d.start(), d.end())]
-        if m["b"] is None and not dots:
+        if m["b"] is None and not dots and not ("@" in m[0] and len(m[0]) > 1):
             continue
         low = max(last, m.start() - _REACH)
         if not (a := _LOCAL_DISGUISED.search(text[low : m.start()])):
@@ -214,24 +246,29 @@ def at_and_dot(t: Rewritten) -> Rewritten:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """What only the rewritten text shows; spans inside a base span of their kind are left out."""
+    """What only the rewritten text shows, with spelled digits as they are or as digits; spans inside another of their kind are left out."""
     t = Rewritten(text)
     if not text.isascii() and _ODD.search(text):
         t = look_alikes(t)
-    if _SPELLED_RUN.search(t.text):
-        t = spelled_digits(t)
-    low = t.text.lower()
-    if any(h in low for h in _HINTS) or _SPACED.search(low):
-        t = at_and_dot(t)
-    if not t.edited:
-        return []
-    out = []
-    for kind, start, end in base_spans(t.text):
-        if t.touched(start, end):
-            a, b = t.span(start, end)
-            if not any(k == kind and s <= a and b <= e for k, s, e in base):
-                out.append((kind, a, b))
-    return sorted(set(out), key=_order)
+    versions = [t]
+    if segments := list(_segments(t.text)):
+        versions.append(spelled_digits(t, segments))
+        if any(t.text[x.end() : y.start()] == "." for s in segments for x, y in pairwise(s)):
+            versions.append(spelled_digits(t, segments, dotted=True))
+    found = set()
+    for v in versions:
+        low = v.text.lower()
+        if any(h in low for h in _HINTS) or _SPACED.search(low):
+            v = at_and_dot(v)
+        if v.edited:
+            found |= {(kind, *v.span(start, end)) for kind, start, end in base_spans(v.text) if v.touched(start, end)}
+    inside = lambda x, y: x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2]
+    # of equal starts the longest comes first, so what holds a span is the last one kept of its kind or a base span
+    out: dict[str, list[Span]] = {k: [] for k in KINDS}
+    for x in sorted(found, key=lambda x: (x[1], -x[2])):
+        if not (out[x[0]] and inside(x, out[x[0]][-1])) and not any(inside(x, y) for y in base):
+            out[x[0]].append(x)
+    return sorted((x for spans in out.values() for x in spans), key=_order)
 
 
 def find_pii(docs: DataFrame, *, text_col: str = "text", prefix: str = "pii_") -> DataFrame:

@@ -80,3 +80,23 @@ def test_query_digest(spark, tmp_path):
     assert rows[1].base_sha256 == hashlib.sha256(b"email:2:8,ip:9:16").hexdigest()
     assert rows[1].spans == "email:2:8,ip:9:16,email:17:28" and rows[1].n_email == 2
     assert rows[2].spans == "" and rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("at one nine two dot one six eight dot zero dot one now", [("ip", "one nine two dot one six eight dot zero dot one")]),
+        ("at 192 dot one six eight dot 0 dot one now", [("ip", "192 dot one six eight dot 0 dot one")]),
+        ("at one nine two.one six eight.zero.one", [("ip", "one nine two.one six eight.zero.one")]),
+        ("call +49 one seven zero 1234567 now", [("phone", "+49 one seven zero 1234567")]),
+        ("call plus four nine (one seven zero) one two three four five six", [("phone", "plus four nine (one seven zero) one two three four five six")]),
+        ("pay four one one one 1111 1111 1111 now", [("card", "four one one one 1111 1111 1111")]),
+        ("pay 4111 1111 1111 111 one", [("card", "4111 1111 1111 111 one")]),
+        ("write to john @ example.com or jane@ example.org", [("email", "john @ example.com"), ("email", "jane@ example.org")]),
+        ("x (at) example (dot) one and un", [("email", "x (at) example (dot) one")]),
+        ("+1 555 123 4567. One of 12345678901 or 10. Two", []),
+        ("one, two, three, four and 1999, un an", []),
+    ],
+)
+def test_spelled_digits_in_any_run(text, want):
+    assert found(text) == want
