@@ -1,8 +1,9 @@
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillforge.llm.url_tree import RULES, judge_urls
+from quillforge.llm.url_tree import RULES, alike, judge_urls
 
 
 def split(url):
@@ -48,3 +49,26 @@ def test_templates_generalise_merge_and_reject(spark):
     assert {r.u_template for r in got if "/deal/" in r.url} == {"deal/{n}/buy/"}
     templates = Counter(r.u_template for r in got if r.url.endswith("/page"))
     assert templates == {"*/page//": 120}, templates
+
+
+def test_siblings_merge_by_their_labels(spark):
+    rows = [(f"http://m.com/{w}/{x}", bad) for w, bad in (("ads", True), ("deals", True), ("news", False), ("sport", False)) for x in ("x", "y") for _ in range(20)]
+    rows += [("http://m.com/quiet/x", None)] * 20
+    got = judge_urls(spark.createDataFrame(rows, "url string, bad boolean"), rules=[], label=F.col("bad")).collect()
+    top = {r.u_path.split("/")[1]: r.u_template.split("/")[0] for r in got}
+    assert top["ads"] == top["deals"] != top["news"] == top["sport"] and top["quiet"] == "quiet", top
+
+
+def test_rates_follow_the_parents_and_silence_is_no_evidence(spark):
+    rows = [(f"http://m.com/ads/{x}/1", True) for x in ("a", "b") for _ in range(20)] + [("http://m.com/ads/c/1", None)] * 20
+    rows += [("http://m.com/news/a/1", False)] * 30 + [("http://bad.com/x/1", True)] * 30 + [("http://bad.com/other/1", None)] * 30
+    got = {r.u_host + r.u_path: r for r in judge_urls(spark.createDataFrame(rows, "url string, bad boolean"), rules=[], label=F.col("bad")).collect()}
+    assert got["m.com/ads/c/1"].u_verdict == "block" and got["m.com/ads/c/1"].u_rate > 0.9
+    assert got["bad.com/other/1"].u_verdict == "allow" and got["bad.com/x/1"].u_verdict == "block"
+    assert got["m.com/news/a/1"].u_verdict == "allow"
+
+
+def test_groups_of_alike_counts():
+    assert alike(np.array([20.0, 10, 30, 40]), np.array([20.0, 10, 0, 1])).tolist() == [1, 1, 0, 0]
+    assert alike(np.array([50.0, 50, 50]), np.array([0.0, 25, 50])).tolist() == [0, 1, 2]
+    assert alike(np.array([7.0]), np.array([3.0])).tolist() == [0]
