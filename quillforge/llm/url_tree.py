@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quillforge.llm.shared import cut
 
-#: Segments of a path that the tree tells apart; what follows is one tail.
-DEPTH = 3
+#: Slashes that a template has at least; the tree is as deep as its paths.
+SLASHES = 3
 #: Distinct children from which a node's segments are taken to be variable.
 VARIABLE = 24
 #: Pseudo-counts by which a rate is drawn towards its parent's; the rate from which a template is rejected; deviation that parts siblings.
@@ -65,11 +65,10 @@ def typed_segment(segment: Column) -> Column:
     return F.when(F.length(segment) > 0, F.concat(kind, extension)).otherwise(F.lit(""))
 
 
-def typed_path(path: Column, depth: int) -> Column:
+def typed_path(path: Column) -> Column:
     """The typed segments, joined by "/", without empty ones at the end."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    tail = F.when(F.size(parts) > depth, F.array(F.lit("{more}"))).otherwise(F.array().cast("array<string>"))
-    return F.regexp_replace(F.array_join(F.concat(F.transform(F.slice(parts, 1, depth), typed_segment), tail), "/"), "/+$", "")
+    return F.regexp_replace(F.array_join(F.transform(parts, typed_segment), "/"), "/+$", "")
 
 
 def _domain(host: Column) -> Column:
@@ -156,7 +155,7 @@ def build_tree(paths: DataFrame, variable: int = VARIABLE, smoothing: float = SM
         live = cut(live.select(*paths.columns, node.alias("node"), rate.alias("rate"), (F.col("below") > 0 if k == 0 else F.col("evidence")).alias("evidence"), "ends"))
         rest = F.array_join(F.concat(F.array("node"), F.slice(F.split("path", "/"), k + 2, 1 << 30)), "/")
         short = F.regexp_replace(rest, "/+$", "")
-        pad = F.repeat(F.lit("/"), F.greatest(F.lit(0), F.lit(DEPTH + 1) - F.size(F.split(short, "/"))))
+        pad = F.repeat(F.lit("/"), F.greatest(F.lit(0), F.lit(SLASHES + 1) - F.size(F.split(short, "/"))))
         out = live.where("ends").select("host", "path", F.concat(short, pad).alias("template"), "rate", "evidence")
         ended = out if ended is None else ended.union(out)
         live = live.where("not ends").drop("ends")
@@ -164,7 +163,7 @@ def build_tree(paths: DataFrame, variable: int = VARIABLE, smoothing: float = SM
     return ended
 
 
-def judge_urls(pages: DataFrame, *, rules: list[tuple[str, str, str]], url_col: str = "url", label: Column | None = None, depth: int = DEPTH, variable: int = VARIABLE, reject: float = REJECT, prefix: str = "u_") -> DataFrame:
+def judge_urls(pages: DataFrame, *, rules: list[tuple[str, str, str]], url_col: str = "url", label: Column | None = None, variable: int = VARIABLE, reject: float = REJECT, prefix: str = "u_") -> DataFrame:
     """pages and, named with `prefix`: host, path, rule, verdict, template, rate.
 
     A page that a rule fits has the rule's verdict and is a label for the tree, bad if blocked; `label`, a column that is true, false
@@ -180,7 +179,7 @@ def judge_urls(pages: DataFrame, *, rules: list[tuple[str, str, str]], url_col:
     rule, verdict = rule_for(p("host"), p("path"), rules)
     rows = rows.withColumns({f"{prefix}rule": rule, f"{prefix}ruled": verdict, f"{prefix}label": label if label is not None else verdict == "block"})
     keys = ["host", "typed"]
-    rows = rows.withColumn(f"{prefix}typed", typed_path(p("path"), depth))
+    rows = rows.withColumn(f"{prefix}typed", typed_path(p("path")))
     paths = rows.groupBy(*map(p, keys)).agg(F.count(F.lit(1)).alias("n"), F.count(p("label")).alias("labelled"), F.coalesce(F.sum(p("label").cast("long")), F.lit(0)).alias("bad"))
     tree = build_tree(paths.select(p("host").alias("host"), p("typed").alias("path"), "n", "labelled", "bad"), variable)
     rated = tree.select(*(F.col(c).alias(f"{prefix}{d}") for c, d in (("host", "host"), ("path", "typed"), ("template", "template"), ("rate", "rate"), ("evidence", "evidence"))))

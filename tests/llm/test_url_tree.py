@@ -72,3 +72,11 @@ def test_groups_of_alike_counts():
     assert alike(np.array([20.0, 10, 30, 40]), np.array([20.0, 10, 0, 1])).tolist() == [1, 1, 0, 0]
     assert alike(np.array([50.0, 50, 50]), np.array([0.0, 25, 50])).tolist() == [0, 1, 2]
     assert alike(np.array([7.0]), np.array([3.0])).tolist() == [0]
+
+
+def test_the_tree_is_as_deep_as_its_paths(spark):
+    rows = [(f"http://m.com/a/b/c/{w}/{i}", w == "ads") for w in ("ads", "news") for i in range(20)] + [("http://m.com/a/b/c", None), ("http://m.com/a/b/c/", None), ("http://m.com/q/w/e/r/t/y", None)]
+    got = {r.u_path: r for r in judge_urls(spark.createDataFrame(rows, "url string, bad boolean"), rules=[], label=F.col("bad")).collect()}
+    assert (got["/a/b/c/ads/1"].u_verdict, got["/a/b/c/news/1"].u_verdict) == ("block", "allow")
+    assert got["/a/b/c/ads/1"].u_template == "a/b/c/ads/{n}" and got["/q/w/e/r/t/y"].u_template == "*/w/e/r/t/y"
+    assert got["/a/b/c"].u_template == got["/a/b/c/"].u_template == "a/b/c/"
