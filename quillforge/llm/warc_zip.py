@@ -1,7 +1,8 @@
 """WARC records in ZIP archives, written and read in place.
 
 An archive holds stored members: `archive/*.warc.gz`, one gzip member for each
-record, and `indexes/*.cdx`, a line with offset and length for each record.
+record, and `indexes/*.cdxj`, a line with file name, offset and length for each
+record.  Both are written as the records come, so a task holds one at a time.
 The reader finds the end-of-directory record at the file's end, follows ZIP64
 records and extra fields where there are any, takes the members' places from
 the central directory and reads single ranges of records from the open file;
@@ -13,26 +14,36 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.llm.shared import cut, shared_dir
-
-#: Bytes of records from which an archive is closed, and of a range that one read takes.
-ARCHIVE_BYTES, RANGE_BYTES = 48 << 20, 4 << 20
-DATE = "1970-01-01T00:00:00Z"
+from quillforge.llm import textkit as tk
+from quillforge.llm.shared import cut, shared_dir, small_batches
+
+#: Bytes of records from which an archive is closed, and of a range that one task reads, in one go at most.
+ARCHIVE_BYTES, RANGE_BYTES = 48 << 20, 1 << 20
+#: Bytes that a decompressor takes at once.
+_FEED = 1 << 14
+#: Up to so many revisits are broadcast to the payloads; for more the payloads are shuffled by id.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+MEMBER = "data.warc.gz"
+DATE, _COMPACT_DATE = "1970-01-01T00:00:00Z", "19700101000000"
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
 
 # ---- fixed values: signatures of the ZIP format, and the revisit profile of the WARC format
-_LOCAL, _CENTRAL, _END, _END64, _LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
+_LOCAL, _CENTRAL, _END, _END64, _LOCATOR64, _DESCRIPTOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x07\x08"
+_FLAGS = 0x808  # names in UTF-8, sizes after the bytes
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # ----
 
@@ -53,28 +64,44 @@ def _extra64(*values: int) -> bytes:
     return struct.pack(f"<HH{len(values)}Q", 1, 8 * len(values), *values) if values else b""
 
 
-def write_zip(members: list[tuple[str, bytes]], zip64: bool = False) -> Iterator[bytes]:
-    """The bytes of an archive of stored members; ZIP64 records where sizes or offsets ask for them, or if told to."""
-    at, directory = 0, []
-    for name, data in members:
-        raw, crc, n = name.encode(), zlib.crc32(data), len(data)
-        wide = zip64 or n >= _MAX32
-        extra = _extra64(n, n) if wide else b""
-        head = struct.pack("<4sHHHHHIIIHH", _LOCAL, 45 if wide else 20, 0x800, 0, 0, 0x21, crc, _MAX32 if wide else n, _MAX32 if wide else n, len(raw), len(extra)) + raw + extra
-        yield head
-        yield data
-        far = zip64 or at >= _MAX32
-        extra = _extra64(*([n, n] if wide else []), *([at] if far else []))
-        directory.append(struct.pack("<4sHHHHHHIIIHHHHHII", _CENTRAL, 45, 45 if wide or far else 20, 0x800, 0, 0, 0x21, crc, _MAX32 if wide else n, _MAX32 if wide else n, len(raw), len(extra), 0, 0, 0, 0, _MAX32 if far else at) + raw + extra)
-        at += len(head) + n
-    central, count = b"".join(directory), len(members)
-    yield central
-    if zip64 or at >= _MAX32 or count >= _MAX16:
-        yield struct.pack("<4sQHHIIQQQQ", _END64, 44, 45, 45, 0, 0, count, count, len(central), at)
-        yield struct.pack("<4sIQI", _LOCATOR64, 0, at + len(central), 1)
-        yield struct.pack("<4sHHHHIIH", _END, 0, 0, _MAX16, _MAX16, _MAX32, _MAX32, 0)
-    else:
-        yield struct.pack("<4sHHHHIIH", _END, 0, 0, count, count, len(central), at, 0)
+class ZipWriter:
+    """An archive of stored members, written as their bytes come: sizes and checksums follow each member and stand in the directory.
+
+    ZIP64 records where offsets or their number ask for them, or, for members too, if told to.
+    """
+
+    def __init__(self, out, zip64: bool = False):
+        self.out, self.zip64, self.at, self.directory = out, zip64, 0, []
+
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def member(self, name: str, parts: Iterable[bytes]) -> None:
+        raw, header, wide = name.encode(), self.at, self.zip64
+        extra, size = (_extra64(0, 0), _MAX32) if wide else (b"", 0)
+        self._write(struct.pack("<4sHHHHHIIIHH", _LOCAL, 45 if wide else 20, _FLAGS, 0, 0, 0x21, 0, size, size, len(raw), len(extra)) + raw + extra)
+        crc = n = 0
+        for part in parts:
+            self._write(part)
+            crc, n = zlib.crc32(part, crc), n + len(part)
+        if n >= _MAX32 and not wide:
+            raise ValueError("a member of 4 GB and more needs zip64")
+        self._write(struct.pack("<4sIQQ" if wide else "<4sIII", _DESCRIPTOR, crc, n, n))
+        far = wide or header >= _MAX32
+        extra = _extra64(*([n, n] if wide else []), *([header] if far else []))
+        size = _MAX32 if wide else n
+        self.directory.append(struct.pack("<4sHHHHHHIIIHHHHHII", _CENTRAL, 45, 45 if far else 20, _FLAGS, 0, 0, 0x21, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, _MAX32 if far else header) + raw + extra)
+
+    def close(self) -> None:
+        at, central, count = self.at, b"".join(self.directory), len(self.directory)
+        self._write(central)
+        if self.zip64 or at >= _MAX32 or count >= _MAX16:
+            self._write(struct.pack("<4sQHHIIQQQQ", _END64, 44, 45, 45, 0, 0, count, count, len(central), at))
+            self._write(struct.pack("<4sIQI", _LOCATOR64, 0, at + len(central), 1))
+            self._write(struct.pack("<4sHHHHIIH", _END, 0, 0, _MAX16, _MAX16, _MAX32, _MAX32, 0))
+        else:
+            self._write(struct.pack("<4sHHHHIIH", _END, 0, 0, count, count, len(central), at, 0))
 
 
 def _header_value(value: str) -> str:
@@ -99,24 +126,23 @@ def record(record_id: str, url: str | None, payload: bytes, refers_to: str | Non
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-class _Archive:
-    def __init__(self):
-        self.parts, self.index, self.at = [], [], 0
-
-    def add(self, record_id: str, raw: bytes) -> None:
-        packed = gzip.compress(raw, 6, mtime=0)
-        self.index.append(f"{record_id} {self.at} {len(packed)}")
-        self.parts.append(packed)
-        self.at += len(packed)
-
-    def members(self) -> list[tuple[str, bytes]]:
-        return [("archive/data.warc.gz", b"".join(self.parts)), ("indexes/index.cdx", "\n".join(self.index).encode())]
-
-
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def _revisits(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """id, sha and first of the rows (id, sha, bytes, order) that have the payload of a row with another and smallest id; no payload is
+    moved, and each digest's rows meet only their minimum.
+    """
+    enough = rows.where(F.col("bytes") >= min_bytes).select("id", "order", "sha")
+    firsts = enough.groupBy("sha").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
+    # a digest's rows are dealt to SALTS keys, so that one with very many rows is no single task
+    salted = enough.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    spread = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = salted.join(spread, ["sha", "salt"]).where(~F.col("order").eqNullSafe(F.col("first")))
+    return found.select("id", "sha", F.col("first").cast("string").alias("refers_to")).distinct()
+
+
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
     """Writes each row of pages as a WARC record into ZIP archives in `folder`, a URI that all executors reach, and returns their
     paths and numbers of records.
@@ -125,34 +151,49 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     smaller payloads are all responses.  A null payload is empty; rows with a null id are written too, and as revisits only of rows
     that have one.  Only archives of tasks that succeeded are in the result, whatever lost or repeated tasks have left in the folder.
     """
+    spark = pages.sparkSession
+    small_batches(spark)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    shared = rows.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    joined = rows.join(shared, "sha", "left").select("id", "url", "payload", F.when(~F.col("order").eqNullSafe(F.col("first")), F.col("first").cast("string")).alias("refers_to"))
+    revisits = cut(_revisits(rows.select("id", "order", "sha", F.length("payload").alias("bytes")), min_bytes))
+    if revisits.count() <= BROADCAST_ROWS:
+        revisits = F.broadcast(revisits)
+    revisits = revisits.select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "refers_to")
+    joined = rows.join(revisits, F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha")), "left").select("id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open_fs(folder)
-        archive, n = _Archive(), 0
-
-        def close() -> pa.RecordBatch:
-            path = f"{base}/{uuid.uuid4().hex}.zip"
-            with fs.open_output_stream(path) as f:
-                for part in write_zip(archive.members(), zip64):
-                    f.write(part)
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rsplit('/', 1)[1]}"]), pa.array([n], pa.int64())], names=["path", "records"])
-
         fs.create_dir(base, recursive=True)
-        for batch in batches:
-            columns = [batch.column(c) for c in ("id", "url", "payload", "refers_to")]
-            for values in zip(*columns, strict=True):
-                i, url, body, refers = (v.as_py() for v in values)
-                archive.add(i if i is not None else "", record(i if i is not None else "", url, body, refers))
-                n += 1
-                if archive.at >= archive_bytes:
-                    yield close()
-                    archive, n = _Archive(), 0
-        if n:
-            yield close()
+
+        def records() -> Iterator[tuple[str, str | None, bytes, str | None]]:
+            for batch in batches:
+                for values in zip(*(batch.column(c) for c in ("id", "url", "payload", "refers_to")), strict=True):
+                    i, url, body, refers = (v.as_py() for v in values)
+                    yield i if i is not None else "", url, body, refers
+                tk.give_back()
+
+        source = records()
+        for head in source:  # an archive for as long as there are records
+            name = f"{uuid.uuid4().hex}.zip"
+            index: list[str] = []
+
+            def packed(begin=head, index=index) -> Iterator[bytes]:
+                at = 0
+                for i, url, body, refers in chain([begin], source):
+                    raw = gzip.compress(record(i, url, body, refers), 6, mtime=0)
+                    about = {"url": url, "digest": f"sha1:{digest(body)}", "offset": str(at), "length": str(len(raw)), "filename": MEMBER}
+                    index.append(f"{i} {_COMPACT_DATE} {json.dumps(about)}\n")
+                    yield raw
+                    at += len(raw)
+                    if at >= archive_bytes:
+                        return
+
+            with fs.open_output_stream(f"{base}/{name}") as out:
+                archive = ZipWriter(out, zip64)
+                archive.member(f"archive/{MEMBER}", packed())
+                archive.member("indexes/index.cdxj", (x.encode() for x in index))
+                archive.close()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(index)], pa.int64())], names=["path", "records"])
 
     return cut(joined.mapInArrow(run, "path string, records long"))
 
@@ -214,57 +255,157 @@ def content_at(f, m: Member) -> int:
     return m.header + 30 + sum(struct.unpack_from("<HH", head, 26))
 
 
-def ranges(f, limit: int = RANGE_BYTES) -> Iterator[tuple[int, int, int]]:
-    """(offset in the file, bytes, records) of runs of records, by the archive's indexes."""
-    members = {m.name: m for m in directory(f)}
-    for name, m in members.items():
-        if not (name.startswith("archive/") and name.endswith(".warc.gz")):
-            continue
-        stem = name.removeprefix("archive/").removesuffix(".warc.gz")
-        index = members.get(f"indexes/{stem}.cdx") or next((x for n, x in members.items() if n.startswith("indexes/")), None)
-        at = content_at(f, m)
-        if index is None:
-            yield at, m.size, -1
+def index_entries(text: str) -> Iterator[tuple[str | None, int, int]]:
+    """(file name, offset, length) of each record in an index: lines that end in JSON fields, the classic eleven columns under a
+    heading that names them, or lines that end in offset and length.
+    """
+    columns = None
+    for line in text.splitlines():
+        words = line.split()
+        if words[:1] == ["CDX"]:
+            columns = words[1:]
+        elif "{" in line:
+            fields = json.loads(line[line.index("{") :])
+            if "offset" in fields and "length" in fields:
+                yield fields.get("filename"), int(fields["offset"]), int(fields["length"])
+        elif columns is not None and len(words) == len(columns):
+            fields = dict(zip(columns, words, strict=True))
+            if fields.get("V", "-") != "-" and fields.get("S", "-") != "-":
+                yield fields.get("g"), int(fields["V"]), int(fields["S"])
+        elif columns is None and len(words) >= 2 and words[-1].isdigit() and words[-2].isdigit():
+            yield None, int(words[-2]), int(words[-1])
+
+
+def ranges(f, limit: int = RANGE_BYTES) -> Iterator[tuple[int, int, int, bool]]:
+    """(offset in the file, bytes, records, whether they are gzip members) of runs of records, by the archive's indexes.
+
+    A member that no index names is one range, and its number of records -1; an index without file names is that of the member of
+    its own stem, or of the only member.
+    """
+    members = directory(f)
+    files = {m.name.rsplit("/", 1)[-1]: m for m in members if m.name.startswith("archive/") and m.name.endswith((".warc", ".warc.gz"))}
+    stems = {n.removesuffix(".gz").removesuffix(".warc"): n for n in files}
+    found: dict[str, list[tuple[int, int]]] = {}
+    for m in members:
+        if m.name.startswith("indexes/") and m.name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+            f.seek(content_at(f, m))
+            raw = f.read(m.size)
+            text = (gzip.decompress(raw) if m.name.endswith(".gz") else raw).decode()
+            own = stems.get(m.name.rsplit("/", 1)[-1].split(".cdx")[0]) or (next(iter(files)) if len(files) == 1 else None)
+            for name, offset, length in index_entries(text):
+                name = name.rsplit("/", 1)[-1] if name else own
+                if name in files:
+                    found.setdefault(name, []).append((offset, length))
+    for name, m in files.items():
+        at, packed = content_at(f, m), name.endswith(".gz")
+        if name not in found:
+            yield at, m.size, -1, packed
             continue
-        f.seek(content_at(f, index))
         start = size = n = 0
-        for line in f.read(index.size).decode().splitlines():
-            offset, length = map(int, line.split(" ")[-2:])
+        for offset, length in sorted(set(found[name])):
             if n and (size + length > limit or start + size != offset):
-                yield at + start, size, n
+                yield at + start, size, n, packed
                 size = n = 0
             if not n:
                 start = offset
             size, n = size + length, n + 1
         if n:
-            yield at + start, size, n
+            yield at + start, size, n, packed
 
 
-def parse_record(raw: bytes) -> dict:
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    name = lambda v: None if v is None else v.removeprefix("<urn:page:").removesuffix(">")
-    found = {"record_id": name(fields["WARC-Record-ID"]) or None, "record_type": fields["WARC-Type"], "url": fields.get("WARC-Target-URI"), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": length, "refers_to": name(fields.get("WARC-Refers-To")), "payload": payload if fields["WARC-Type"] == "response" else None}
-    if found["record_type"] == "response" and (len(payload) != length or digest(payload) != found["payload_digest"]):
-        raise ValueError(f"the payload of {fields['WARC-Record-ID']} isn't what its digest says")
-    return found
+#: Kinds of records that have a payload or stand for one; others are passed over.
+KINDS = ("response", "revisit", "resource")
 
 
-def split_gzip(data: bytes) -> Iterator[bytes]:
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+def parse_record(raw: bytes) -> dict | None:
+    """The fields of a record, or null for one of another kind than KINDS.
+
+    The payload is what follows the HTTP header, or the block where there is none.  A digest that isn't given is computed; a SHA-1
+    that is given must hold.  Names lose the scheme and brackets that this module's writer gives them.
+    """
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    lines = [x.split(":", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x]
+    fields = {k.strip().lower(): v.strip() for k, v in lines}
+    kind = fields.get("warc-type")
+    if kind not in KINDS:
+        return None
+    block = rest[: int(fields.get("content-length", len(rest)))]
+    if block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        length = next((int(v) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:") and (v := x.split(b":", 1)[1].strip()).isdigit()), None)
+    else:
+        payload, length = block, None
+    name = lambda v: None if v is None else v.removeprefix("<").removeprefix("urn:page:").removesuffix(">")
+    given = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    whole = kind != "revisit"
+    if whole and (given is None or len(given) == 32) and (found := digest(payload)) != given:
+        if given is not None:
+            raise ValueError(f"the payload of {fields.get('warc-record-id')} isn't what its digest says")
+        given = found
+    return {"record_id": name(fields.get("warc-record-id")) or None, "record_type": kind, "url": fields.get("warc-target-uri"), "payload_digest": given, "payload_bytes": len(payload) if whole else length, "refers_to": name(fields.get("warc-refers-to")), "payload": payload if whole else None}
+
+
+def split_gzip(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    """The contents of gzip members that follow each other, from blocks of their bytes; each byte is looked at once or, at the end of
+    a member, twice.
+    """
+    d, parts = None, []
+    for block in blocks:
+        for at in range(0, len(block), _FEED):
+            data = block[at : at + _FEED]
+            while data:
+                if d is None:
+                    d = zlib.decompressobj(31)
+                parts.append(d.decompress(data))
+                data = d.unused_data
+                if d.eof:
+                    yield b"".join(parts)
+                    d, parts = None, []
+    if d is not None:
+        raise ValueError("a gzip member is cut short")
+
+
+def split_plain(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    """Records that stand uncompressed behind each other, by their lengths."""
+    held = bytearray()
+    need = None
+    for block in blocks:
+        held += block
+        while True:
+            if need is None:
+                while held[:2] == b"\r\n":
+                    del held[:2]
+                end = held.find(b"\r\n\r\n")
+                if end < 0:
+                    break
+                size = next((int(x.split(b":", 1)[1]) for x in bytes(held[:end]).split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
+                need = end + 4 + size
+            if len(held) < need:
+                break
+            yield bytes(held[:need])
+            del held[:need]
+            need = None
+    if bytes(held).strip():
+        raise ValueError("a record is cut short")
+
+
+def _blocks(f, at: int, size: int) -> Iterator[bytes]:
+    f.seek(at)
+    while size:
+        data = f.read(min(size, RANGE_BYTES))
+        if not data:
+            raise ValueError("an archive ends before its records do")
+        size -= len(data)
+        yield data
 
 
 _FIELDS = {"record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.string(), "payload": pa.binary()}
 
 
 def read_archives(archives: DataFrame, *, payloads: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """archives: path, a URI.  A row per record; payload is null for revisits, and left out without `payloads`."""
+    """archives: path, a URI; null paths are passed over, and a path that comes twice is read twice.  A row per record of KINDS;
+    payload is null for revisits, and left out without `payloads`.
+    """
     spark = archives.sparkSession
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,22 +414,32 @@ def read_archives(archives: DataFrame, *, payloads: bool = True, range_bytes: in
                 fs, name = _open_fs(path)
                 with fs.open_input_file(name) as f:
                     found = list(ranges(f, range_bytes))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["path", "at", "size"])
+                columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[3], pa.bool_())], names=["path", "at", "size", "packed"])
 
     names = [n for n in _FIELDS if payloads or n != "payload"]
 
+    def rows_of(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for raw in records:
+            if (row := parse_record(raw)) is not None:
+                held += len(raw) if payloads else 256
+                rows.append([row[n] for n in names])
+            if held > RANGE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _FIELDS[n]) for k, n in enumerate(names)], names=names)
+                rows, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _FIELDS[n]) for k, n in enumerate(names)], names=names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, at, size in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size")), strict=True):
+            for path, at, size, packed in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size", "packed")), strict=True):
                 fs, name = _open_fs(path)
                 with fs.open_input_file(name) as f:
-                    f.seek(at)
-                    data = f.read(size)
-                rows = [parse_record(raw) for raw in split_gzip(data)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _FIELDS[n]) for n in names], names=names)
+                    yield from rows_of((split_gzip if packed else split_plain)(_blocks(f, at, size)))
+                tk.give_back()
 
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    located = archives.select("path").mapInArrow(locate, "path string, at long, size long").repartition(tasks)
+    located = archives.where("path is not null").select("path").mapInArrow(locate, "path string, at long, size long, packed boolean").repartition(tasks)
     schema = "record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string" + ", payload binary" * payloads
     return located.mapInArrow(read, schema)
 
