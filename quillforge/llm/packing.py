@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillforge.llm.shared import small_batches
+
 MAX_TOKENS = 4096
 END_ID = 1
 #: Open bins of a task: memory and the search are bounded by it, whatever the number of documents.
@@ -146,6 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_cols: tuple[str, ...] = ("d
     pieces of max_tokens, the last of which may be shorter; no other is cut.  Repeated rows are packed each.  sequence_id has the
     task's partition in its upper bits, so it depends on how the rows are dealt, but a task that runs again gives the same rows.
     """
+    small_batches(docs.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in id_cols), "piece int", "start long", "length long", "ids binary", "sequence_id long", "offset long"])
     end = np.array([end_id], "<u4").tobytes()
@@ -165,7 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_cols: tuple[str, ...] = ("d
                     row.append(d), piece.append(k), start.append(s // 4), length.append(len(part) // 4), ids.append(part)
                     sequence.append(base + b), offset.append(at)
                 held += len(tokens)
-                if held > 1 << 23 or d == batch.num_rows - 1:
+                if held > 1 << 21 or d == batch.num_rows - 1:
                     keys = [batch.column(c).take(pa.array(row, pa.int32())) for c in id_cols]
                     yield pa.RecordBatch.from_arrays(
                         [*keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],

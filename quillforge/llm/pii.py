@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillforge.llm import textkit as tk
+from quillforge.llm.shared import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -278,6 +281,7 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", prefix: str = "pii_") -
     base has what stands in the text as it is; added has what the transducers bring to light.  A null text has no spans and stays
     null when redacted.  Rows stay as they are; columns that begin with `prefix` are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*[f"`{c}`" for c in docs.columns if not c.startswith(prefix)])
     kind = "array<struct<kind:string,start:int,end:int>>"
     names = [f"{prefix}base", f"{prefix}added", f"{prefix}redacted"]
@@ -297,6 +301,7 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", prefix: str = "pii_") -
                     added.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in a])
                     redacted.append(redact(text, [*b, *a]) if b or a else text)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(base, arrow), pa.array(added, arrow), pa.array(redacted, pa.string())], names=[*part.schema.names, *names])
+            tk.give_back()
 
     return docs.mapInArrow(run, schema)
 

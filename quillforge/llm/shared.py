@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of one batch that goes to a Python worker: several copies of it are alive at once, in the executor and in the worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
