@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Words of three letters and more, as Python's [^\W\d_] has letters.
 LETTERS = r"[\p{L}\p{Nl}\p{No}]{3,}"
+#: Words in a sample of a text.
+SAMPLE = 12
+
+
+def java(pattern: str) -> str:
+    """A pattern with the white space and line ends that Python has."""
+    return pattern.replace(r"\s", SPACE).replace("(?m)", "(?dm)")
 
 
 def let(value: Column, body) -> Column:
@@ -16,8 +23,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+#: The characters of SPACE.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def lines(c: Column) -> Column:
@@ -43,3 +54,10 @@ def evenly_spaced(n: Column, k: int) -> Column:
     """At most k indices from 0 to n - 1, at equal distances, halves to even."""
     spaced = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / (k - 1)).cast("int")))
     return F.when(n <= 0, F.array().cast("array<int>")).when(n <= k, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(spaced)
+
+
+def word_sample(source: Column) -> Column:
+    """Every (n // SAMPLE)-th of the source's distinct words in order, the first SAMPLE of them."""
+    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(source, F.lit(LETTERS), F.lit(0)), fold)))
+    step = lambda v: F.greatest(F.floor(F.size(v) / SAMPLE), F.lit(1)).cast("int")
+    return let(found, lambda v: F.slice(F.filter(v, lambda w, i: i % step(v) == 0), 1, SAMPLE))

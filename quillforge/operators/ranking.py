@@ -25,6 +25,12 @@ def ranked(cards: DataFrame) -> DataFrame:
     return passed.withColumns({"rank": F.row_number().over(w), "best": F.first("total_score").over(w), "next_score": F.lead("total_score").over(w)})
 
 
+def standing(cards: DataFrame) -> DataFrame:
+    """cards with the rank that ranked() gives, null for a candidate that a gate disqualifies; in one shuffle of what cards has."""
+    w = Window.partitionBy("doc_id").orderBy(F.col("first_failure").isNotNull(), "total_score", "adapter")
+    return cards.withColumn("rank", F.when(F.col("first_failure").isNull(), F.row_number().over(w)))
+
+
 def page_bucket(pages: Column) -> Column:
     out = F.lit(BEYOND)
     for most, name in reversed(BUCKETS):

@@ -35,14 +35,14 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
 
 def violations(spark: SparkSession, d: str) -> DataFrame:
     """Two windows' findings for each check that a candidate doesn't pass."""
-    kinds = F.create_map(*[F.lit(x) for n, c in k.CHECKS.items() for x in (n, f"{c[3]}|{c[4]}|{c[5] or 0.7}")])
-    found = t.checked(spark, d).select("doc_id", "adapter", F.posexplode("checks").alias("i", "x")).where("x.status <> 'pass'").withColumn("kind", F.split(kinds[F.col("x.name")], r"\|"))
+    confidence = F.create_map(*[F.lit(x) for n, c in k.CHECKS.items() for x in (n, c[5])])
+    found = t.checked(spark, d).select("doc_id", "adapter", F.posexplode("checks").alias("i", "x")).where("x.status <> 'pass'").withColumn("confidence", confidence[F.col("x.name")])
     rows = found.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("w"))
     text = F.concat(F.lit("Check "), F.col("x.name"))
     return rows.select(
-        "doc_id", "adapter", (F.col("i") * 2 + F.col("w")).alias("ord"), F.col("kind")[0].alias("type"), F.col("kind")[1].alias("severity"), F.col("x.issues").alias("count"),
-        F.array(F.col("w"), (F.col("w") + F.pmod("doc_id", F.lit(3))).cast("int")).alias("pages"), F.col("kind")[2].cast("double").alias("confidence"),
-        F.when(F.col("w") == 1, text).otherwise(F.upper(F.replace(text, F.lit(" "), F.lit("  ")))).alias("evidence"), F.col("kind")[0].alias("cause"),
+        "doc_id", "adapter", (F.col("i") * 2 + F.col("w")).alias("ord"), F.col("x.violation").alias("type"), "x.severity", F.col("x.issues").alias("count"),
+        F.array(F.col("w"), (F.col("w") + F.pmod("doc_id", F.lit(3))).cast("int")).alias("pages"), "confidence",
+        F.when(F.col("w") == 1, text).otherwise(F.upper(F.replace(text, F.lit(" "), F.lit("  ")))).alias("evidence"), F.col("x.violation").alias("cause"),
     )
 
 
@@ -123,13 +123,13 @@ matches AS (
   SELECT doc_id, page AS source_page, candidate_page, matched, anchors, matched::DOUBLE / anchors AS coverage
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY matched DESC, candidate_page) AS n FROM near) WHERE n = 1
 )"""
-_KINDS = "MAP {" + ", ".join(f"'{n}': ['{c[3]}', '{c[4]}', '{c[5] or 0.7}']" for n, c in k.CHECKS.items()) + "}"
+_CONFIDENCE = "MAP {" + ", ".join(f"'{n}': {c[5]}::DOUBLE" for n, c in k.CHECKS.items()) + "}"
 _VIOLATIONS = f"""{o.SCORED},
 found AS (SELECT doc_id, adapter, unnest(range(1, len(checks) + 1)) AS i, unnest(checks) AS x FROM checked),
 violations AS (
-  SELECT doc_id, adapter, CAST((i - 1) * 2 + w AS INTEGER) AS ord, kind[1] AS type, kind[2] AS severity, x.issues AS count, [w::INTEGER, (w + doc_id % 3)::INTEGER] AS pages, kind[3]::DOUBLE AS confidence,
-    CASE WHEN w = 1 THEN 'Check ' || x.name ELSE upper(replace('Check ' || x.name, ' ', '  ')) END AS evidence, kind[1] AS cause
-  FROM (SELECT *, {_KINDS}[x.name] AS kind, unnest([1, 2]) AS w FROM found WHERE x.status <> 'pass')
+  SELECT doc_id, adapter, CAST((i - 1) * 2 + w AS INTEGER) AS ord, x.violation AS type, x.severity AS severity, x.issues AS count, [w::INTEGER, (w + doc_id % 3)::INTEGER] AS pages, confidence,
+    CASE WHEN w = 1 THEN 'Check ' || x.name ELSE upper(replace('Check ' || x.name, ' ', '  ')) END AS evidence, x.violation AS cause
+  FROM (SELECT *, {_CONFIDENCE}[x.name] AS confidence, unnest([1, 2]) AS w FROM found WHERE x.status <> 'pass')
 ),
 merged AS (
   SELECT doc_id, adapter, type, severity, CAST(sum(greatest(count, 1)) AS BIGINT) AS count, list_sort(list_distinct(flatten(list(pages)))) AS pages, max(confidence) AS confidence, arg_min(evidence, ord) AS evidence, min(ord) AS ord

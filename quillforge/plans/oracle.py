@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quillforge.functions.text import SAMPLE
 from quillforge.operators import checks as k
+from quillforge.operators import repair as rp
 from quillforge.sources import candidates as s
 
 
@@ -55,7 +57,7 @@ def _places(test: str) -> str:
     return f"list_filter(range(1, len(ls) + 1), lambda i: {test})"
 
 
-_ROWS = f"list_filter(list_transform(ls, lambda x, i: {{'at': i, 'n': regexp_extract(x, {q(k.NUMBERED)}, 1), 'b': trim(x) = ''}}), lambda r: NOT r.b)"
+_ROWS = f"list_filter(list_transform(ls, lambda x, i: {{'at': i, 'n': regexp_extract(x, {q(k.NUMBERED)}, 1), 'b': regexp_matches(x, '^\\s*$')}}), lambda r: NOT r.b)"
 _GAP = "rows[i].n <> '' AND rows[i-1].n <> '' AND NOT (rows[i].at - rows[i-1].at > 1 AND TRY_CAST(rows[i].n AS BIGINT) = 1) AND TRY_CAST(rows[i].n AS BIGINT) <> TRY_CAST(rows[i-1].n AS BIGINT) + 1"
 _TAGS = f"regexp_extract_all(md, {q(k.IMG_TAG)})"
 _WIDTH = f"TRY_CAST(regexp_extract(t, {q(k.IMG_WIDTH)}, 1) AS DOUBLE)"
@@ -72,26 +74,58 @@ _PROBLEM = (
 _KEY = "CASE WHEN regexp_matches(b, '(?i)^(http://|https://|data:|file://)') THEN b ELSE regexp_extract(b, '([^/]*)/*$', 1) END"
 _BAD = "length(md) - length(regexp_replace(md, '[\\p{C}\\x{FFFD}\\p{Z}]', '', 'g')) - length(regexp_replace(md, '[^ \\n\\r\\t]', '', 'g'))"
 
-JUDGED = f"""{CANDIDATES},
+# Blocks of Markdown without fences, HTML, front matter, rules, quotes, set-off tables and underlined headings, none of which the candidates have.
+_KIND = " ".join(["CASE", "WHEN regexp_matches(line, '^\\s*$') THEN 'blank'", *(f"WHEN regexp_matches(line, {q('^(?:' + rp.PATTERNS[x] + ')')}) THEN '{x}'" for x in ("heading", "list_item", "image", "caption")), "WHEN length(line) - length(replace(line, '|', '')) > 1 AND (starts_with(trim(line), '|') OR ends_with(trim(line), '|')) THEN 'table'", "ELSE 'prose' END"])
+_ENDED = f"regexp_matches({{}}, {q(rp.PATTERNS['terminal'])})"
+_JOINS = f"""NOT {_ENDED.format('before')} AND greatest(length(x), length(before)) >= {rp.MIN_CHARS} AND least(length(x), length(before)) <= {rp.SHORT} AND (regexp_matches(x, '^\\p{{Ll}}') OR right(before, 1) IN (',', ';', ':', '-', '(', '[')
+      OR list_contains({sorted(rp.WORDS)}, regexp_extract_all(lower(before), '[a-z][a-z''-]*')[-1]))"""
+_SHARE = lambda part, whole: f"coalesce(({part})::DOUBLE / nullif({whole}, 0), 0.0)"
+
+SIGNALS = f"""{CANDIDATES},
+marked AS (SELECT doc_id, adapter, i, line, {_KIND} AS kind FROM (SELECT doc_id, adapter, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, adapter, {_lines('md')} AS ls FROM cands))),
+begun AS (SELECT *, coalesce(kind IN ('heading', 'image', 'caption') OR kind <> lag(kind) OVER w, true) AS fresh FROM marked WINDOW w AS (PARTITION BY doc_id, adapter ORDER BY i)),
+numbered AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id, adapter ORDER BY i) AS b FROM begun),
+blocks AS (SELECT doc_id, adapter, b, any_value(kind) AS kind, trim(regexp_replace(string_agg(line, ' ' ORDER BY i), '\\s+', ' ', 'g')) AS x FROM numbered WHERE kind <> 'blank' GROUP BY doc_id, adapter, b),
+follow AS (SELECT *, CASE WHEN lag(kind) OVER w = 'prose' THEN lag(x) OVER w END AS before FROM blocks WINDOW w AS (PARTITION BY doc_id, adapter ORDER BY b)),
+prose AS (SELECT *, before IS NOT NULL AS beside, coalesce({_JOINS}, false) AS joins FROM follow WHERE kind = 'prose'),
+chained AS (SELECT *, sum(CAST(NOT joins AS INTEGER)) OVER (PARTITION BY doc_id, adapter ORDER BY b) AS c FROM prose),
+chains AS (SELECT doc_id, adapter, max(n) AS longest, count(*) FILTER (n >= {rp.MIN_RUN}) AS runs FROM (SELECT doc_id, adapter, c, count(*) AS n FROM chained GROUP BY ALL) WHERE n > 1 GROUP BY ALL),
+each AS (
+  SELECT doc_id, adapter, count(*) AS prose, median(length(x))::DOUBLE AS median_chars, avg(CAST(length(x) <= {rp.SHORT} AS INTEGER)) AS short, avg(CAST(NOT {_ENDED.format('x')} AS INTEGER)) AS open,
+    {_SHARE(f"count(*) FILTER (beside AND NOT {_ENDED.format('before')} AND regexp_matches(x, '^[[:lower:]]|^\\p{{Ll}}'))", f"count(*) FILTER (beside AND NOT {_ENDED.format('before')})")} AS lower, {_SHARE("count(*) FILTER (joins)", "count(*) FILTER (beside)")} AS pairs
+  FROM prose GROUP BY ALL
+),
+hard AS (SELECT doc_id, adapter, count(*) FILTER (kind <> 'prose') AS structure, {_SHARE("count(*) FILTER (kind <> 'prose')", "count(*)")} AS structure_share FROM blocks GROUP BY ALL),
+signs AS (
+  SELECT c.doc_id, c.adapter, coalesce(prose, 0) AS prose, coalesce(structure, 0) AS structure, coalesce(median_chars, 0) AS median_chars, coalesce(short, 0) AS short, coalesce(open, 0) AS open, coalesce(lower, 0) AS lower,
+    coalesce(pairs, 0) AS pairs, coalesce(runs, 0) AS runs, coalesce(longest, 0) AS longest, coalesce(structure_share, 0) AS structure_share
+  FROM cands c LEFT JOIN each USING (doc_id, adapter) LEFT JOIN hard USING (doc_id, adapter) LEFT JOIN chains USING (doc_id, adapter)
+),
+signals AS (
+  SELECT *, CASE {' '.join(f"WHEN {x} {'> ' + str(rp.MAX_STRUCTURE) if x == 'structure_share' else '< ' + str(rp._FLOOR[x])} THEN '{reason}'" for x, reason in rp.REASONS.items())} ELSE '{rp.SLICED}' END AS detection FROM signs
+)"""
+_PDF = f"doc_id % {s.PDF_EVERY} = 0"
+
+JUDGED = f"""{SIGNALS},
 src AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{3,}}'), lambda w: {_fold('w')}))) AS found FROM documents),
-smp AS (SELECT doc_id, list_filter(found, lambda w, i: (i - 1) % greatest(len(found) // {k.SAMPLE}, 1) = 0)[1:{k.SAMPLE}] AS sample FROM src),
+smp AS (SELECT doc_id, list_filter(found, lambda w, i: (i - 1) % greatest(len(found) // {SAMPLE}, 1) = 0)[1:{SAMPLE}] AS sample FROM src),
 c1 AS (SELECT c.*, sample, {_lines('md')} AS ls, {_REFS} AS refs FROM cands c JOIN smp USING (doc_id)),
 c2 AS (SELECT *, {_ROWS} AS rows, list_transform(refs, lambda r: {_BARE}) AS bare FROM c1),
 judged AS (
   SELECT doc_id, adapter, status, md, source_text, bare, length({_strip('md')}) AS chars,
     CASE WHEN length(md) < {k.PRINTABLE_FROM} THEN 1.0::DOUBLE ELSE 1 - ({_BAD})::DOUBLE / length(md) END AS printable,
-    CASE WHEN len(sample) > 0 THEN len(list_filter(sample, lambda w: contains({_fold('md')}, w)))::DOUBLE / len(sample) ELSE 1.0::DOUBLE END AS coverage,
+    CASE WHEN {_PDF} AND len(sample) > 0 THEN len(list_filter(sample, lambda w: contains({_fold('md')}, w)))::DOUBLE / len(sample) ELSE 1.0::DOUBLE END AS coverage,
     len(regexp_extract_all(md, {q(k.DOUBLE_BULLET)})) AS n_double_bullets,
     len(list_filter(range(2, len(rows) + 1), lambda i: coalesce({_GAP}, false))) AS n_list_gaps,
-    len(list_filter(range(1, len(ls)), lambda i: regexp_matches(ls[i], {q(k.HEADING)}) AND NOT regexp_matches(regexp_extract(ls[i], {q(k.HEADING)}, 2), '[.?!:]$') AND regexp_matches(trim(ls[i+1]), '^\\p{{Ll}}') AND length(trim(ls[i+1])) < {k.FRAGMENT_CHARS})) AS n_fragmented,
+    len(list_filter(range(1, len(ls)), lambda i: regexp_matches(ls[i], {q(k.HEADING)}) AND NOT regexp_matches(regexp_extract(ls[i], {q(k.HEADING)}, 2), '[.?!:]$') AND regexp_matches({_strip('ls[i+1]')}, '^\\p{{Ll}}') AND length({_strip('ls[i+1]')}) < {k.FRAGMENT_CHARS})) AS n_fragmented,
     len(list_filter({_places(f"regexp_matches(ls[i], {q(k.CAPTION)})")}, lambda c: len(list_filter({_places(f"regexp_matches(ls[i], {q(k.IMG_TAG)})")}, lambda g: abs(g - c) <= {k.CAPTION_REACH})) = 0)) AS n_captions,
-    len(list_filter({_places(f"regexp_matches(ls[i], {q(k.BOX)})")}, lambda b: len(list_filter(ls[b+1 : b+{k.BOX_REACH}], lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#'))) = 0)) AS n_boxes,
+    len(list_filter({_places(f"regexp_matches(ls[i], {q(k.BOX)})")}, lambda b: len(list_filter(ls[b+1 : b+{k.BOX_REACH}], lambda x: {_strip('x')} <> '' AND NOT starts_with({_strip('x')}, '#'))) = 0)) AS n_boxes,
     len(list_filter({_TAGS}, lambda t: {_WIDTH} IS NULL OR {_WIDTH} <= 0 OR {_WIDTH} > {k.MAX_EM})) AS n_sizes,
     len(list_filter(list_distinct(heads), lambda h: len(list_filter(heads, lambda x: x = h)) >= {k.REPEATED})) AS n_repeated,
     len(list_filter(bare, lambda b: {_PROBLEM} IS NOT NULL)) AS n_unresolved,
     len(list_distinct(list_transform(bare, lambda b: {_KEY}))) AS n_refs,
-    len(sample) - len(list_filter(sample, lambda w: contains({_fold('md')}, w))) AS n_missing_words
-  FROM (SELECT *, list_filter(list_transform(ls, lambda x: trim(regexp_extract(x, {q(k.HEADING)}, 2))), lambda x: x <> '') AS heads FROM c2)
+    CASE WHEN {_PDF} THEN len(sample) - len(list_filter(sample, lambda w: contains({_fold('md')}, w))) ELSE 0 END AS n_missing_words, coalesce(sliced, 0) AS n_sliced
+  FROM (SELECT *, list_filter(list_transform(regexp_extract_all(md, {q('(?m)' + k.HEADING)}, 2), lambda x: {_strip('x')}), lambda x: x <> '') AS heads FROM c2) LEFT JOIN (SELECT doc_id, adapter, CAST(detection = '{rp.SLICED}' AS BIGINT) AS sliced FROM signals) USING (doc_id, adapter)
 )"""
 
 GATED = f"""{JUDGED},
@@ -101,23 +135,30 @@ gated AS (
 )"""
 
 
-def _score(name: str, status: str, issues: str) -> str:
-    weight, _, cut, *_ = k.CHECKS[name]
+def _score(name: str, status: str, issues: str, kind: str = "", grade: str = "") -> str:
+    weight, _, cut, violation, severity, _ = k.CHECKS[name]
     details = f"least({issues}, {k.MAX_DETAILS})" if cut else issues
-    return f"{{'name': '{name}', 'status': {status}, 'issues': CAST({issues} AS BIGINT), 'score': CAST({weight} * (CASE {status} WHEN 'fail' THEN {k.SEVERITY['fail']} WHEN 'warn' THEN {k.SEVERITY['warn']} ELSE 0 END) * greatest(least({details}, {k.MULTIPLIER_CAP}), 1) AS DOUBLE)}}"
+    times = str(k.MULTIPLIERS[name]) if name in k.MULTIPLIERS else f"greatest(least({details}, {k.MULTIPLIER_CAP}), 1)"
+    return (
+        f"{{'name': '{name}', 'status': {status}, 'issues': CAST({issues} AS BIGINT), 'score': CAST({weight} * (CASE {status} WHEN 'fail' THEN {k.SEVERITY['fail']} WHEN 'warn' THEN {k.SEVERITY['warn']} ELSE 0 END) * {times} AS DOUBLE), "
+        f"'violation': CASE WHEN {status} <> 'pass' THEN {kind or q(violation)} END, 'severity': CASE WHEN {status} <> 'pass' THEN {grade or q(severity)} END}}"
+    )
 
 
 _ENTRIES = [_score(n, f"(CASE WHEN {m} > 0 THEN '{k.CHECKS[n][1]}' ELSE 'pass' END)", m) for n, m in k._MEASURES.items()]
-_DIFF = f"abs(n_refs - {len(s.IMAGES)})"
-_ENTRIES.append(_score("image_count_match", f"(CASE {_DIFF} WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' ELSE 'fail' END)", f"(CASE WHEN {_DIFF} > 0 THEN 1 ELSE 0 END)"))
-_ENTRIES.append(_score("text_coverage", f"(CASE WHEN coverage >= {k.COVERAGE_PASS} THEN 'pass' WHEN coverage < {k.COVERAGE_FAIL} THEN 'fail' ELSE 'warn' END)", "n_missing_words"))
+_DIFF = f"(CASE WHEN {_PDF} THEN n_refs - {len(s.IMAGES)} ELSE 0 END)"
+_COUNTED = f"(CASE abs({_DIFF}) WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' ELSE 'fail' END)"
+_COVERED = f"(CASE WHEN coverage >= {k.COVERAGE_PASS} THEN 'pass' WHEN coverage < {k.COVERAGE_FAIL} THEN 'fail' ELSE 'warn' END)"
+_GRADE = "CASE {} WHEN 'fail' THEN 'major' ELSE 'minor' END"
+_ENTRIES.append(_score("image_count_match", _COUNTED, f"(CASE WHEN {_DIFF} <> 0 THEN 1 ELSE 0 END)", f"CASE WHEN {_DIFF} < 0 THEN 'missing_content' ELSE 'duplicated_content' END", _GRADE.format(_COUNTED)))
+_ENTRIES.append(_score("text_coverage", _COVERED, "n_missing_words", "", _GRADE.format(_COVERED)))
 
 CHECKED = f"""{GATED},
 checked AS (SELECT *, [{', '.join(_ENTRIES)}] AS checks FROM gated)"""
 
 SCORED = f"""{CHECKED},
 scored AS (
-  SELECT doc_id, adapter, first_failure, length(md) AS md_chars, list_sum(list_transform(checks, lambda x: x.score)) AS total_score,
+  SELECT doc_id, adapter, first_failure, length(md) AS md_chars, list_filter(checks, lambda x: x.name = 'images_locally_resolvable')[1].score AS image_score, list_sum(list_transform(checks, lambda x: x.score)) AS total_score,
     len(list_filter(checks, lambda x: x.status = 'fail')) AS fail_count, len(list_filter(checks, lambda x: x.status = 'warn')) AS warn_count, len(list_filter(checks, lambda x: x.status = 'pass')) AS pass_count
   FROM checked
 ),
@@ -131,7 +172,7 @@ _BUCKET = "CASE WHEN pages <= 0 THEN 'unknown pages' WHEN pages = 1 THEN '1 page
 OBSERVED = f"""{SCORED},
 obs AS (
   SELECT c.doc_id, c.adapter, c.status, CAST(len(string_split(c.source_text, chr(10))) // 2 AS BIGINT) AS pages, CASE WHEN c.adapter = 'garbled' THEN 0 ELSE length(c.md) * 7 % 100000 END AS timing_ms,
-    r.total_score AS score, r.rank = 1 AS won FROM cands c LEFT JOIN ranked r USING (doc_id, adapter)
+    r.total_score AS score, r.rank = 1 AS won, g.first_failure FROM cands c LEFT JOIN ranked r USING (doc_id, adapter) JOIN scored g USING (doc_id, adapter)
 ),
 grouped AS (
   SELECT bucket, adapter, count(*) AS attempts, CAST(sum(greatest(pages, 0)) AS BIGINT) AS total_pages, CAST(sum(CASE WHEN timing_ms > 0 THEN timing_ms END) AS DOUBLE) AS total_ms,
@@ -168,14 +209,15 @@ ORACLE_SQL = {
     "gate_coverage": f"WITH {JUDGED} SELECT doc_id, adapter, coverage, coverage >= {k.MIN_COVERAGE} AS passed FROM judged",
     "gate_status": f"WITH {CANDIDATES} SELECT doc_id, adapter, status = 'ok' AS passed FROM cands",
     "gate_first_failure": f"WITH {GATED} SELECT doc_id, adapter, first_failure FROM gated",
-    "text_coverage": f"WITH {CHECKED} SELECT doc_id, adapter, coverage, n_missing_words, checks[10].status AS status FROM checked",
+    "text_coverage": f"WITH {CHECKED} SELECT doc_id, adapter, coverage, n_missing_words, checks[11].status AS status FROM checked",
     "check_double_bullets": measure("n_double_bullets"), "check_numbered_lists": measure("n_list_gaps"), "check_fragmented_headings": measure("n_fragmented"), "check_caption_near_image": measure("n_captions"),
-    "check_box_content": measure("n_boxes"), "check_image_size": measure("n_sizes"), "check_repeated_headings": measure("n_repeated"), "check_images_resolvable": measure("n_unresolved"),
+    "check_row_sliced": measure("n_sliced"), "check_box_content": measure("n_boxes"), "check_image_size": measure("n_sizes"), "check_repeated_headings": measure("n_repeated"), "check_images_resolvable": measure("n_unresolved"),
+    "paragraph_signals": f"WITH {SIGNALS} SELECT doc_id, adapter, prose::DOUBLE AS prose, structure::DOUBLE AS structure, median_chars::DOUBLE AS median_chars, short::DOUBLE AS short, open::DOUBLE AS open, lower::DOUBLE AS lower, pairs::DOUBLE AS pairs, runs::DOUBLE AS runs, longest::DOUBLE AS longest, structure_share::DOUBLE AS structure_share, detection FROM signals JOIN cands USING (doc_id, adapter) WHERE status = 'ok'",
     "image_refs": f"WITH {JUDGED} SELECT doc_id, adapter, b AS ref, {_KEY} AS ref_key, {_PROBLEM} AS problem FROM (SELECT doc_id, adapter, unnest(bare) AS b FROM judged)",
-    "image_count_match": f"WITH {CHECKED} SELECT doc_id, adapter, n_refs, checks[9].status AS status FROM checked",
-    "check_scores": f"WITH {CHECKED} SELECT doc_id, adapter, x.name AS check_name, x.status AS status, x.issues AS issues, x.score AS score FROM (SELECT doc_id, adapter, unnest(checks) AS x FROM checked)",
+    "image_count_match": f"WITH {CHECKED} SELECT doc_id, adapter, n_refs, checks[10].status AS status FROM checked",
+    "check_scores": f"WITH {CHECKED} SELECT doc_id, adapter, x.name AS check_name, x.status AS status, x.issues AS issues, x.score AS score, x.violation AS violation, x.severity AS severity FROM (SELECT doc_id, adapter, unnest(checks) AS x FROM checked)",
     "check_totals": f"WITH {CHECKED} SELECT x.name AS check_name, x.status AS status, count(*) AS n, sum(x.score) AS score FROM (SELECT unnest(checks) AS x FROM checked) GROUP BY ALL",
-    "scorecards": f"WITH {SCORED} SELECT doc_id, adapter, total_score, fail_count, warn_count, pass_count FROM scored",
+    "scorecards": f"WITH {SCORED} SELECT doc_id, adapter, total_score, fail_count, warn_count, pass_count, image_score FROM scored",
     "ranking": f"WITH {SCORED} SELECT doc_id, adapter, total_score, CAST(rank AS INTEGER) AS rank FROM ranked",
     "winners": f"WITH {SCORED} SELECT doc_id, adapter AS winner, total_score AS winning_score FROM ranked WHERE rank = 1",
     "near_ties": f"WITH {SCORED} SELECT doc_id, adapter, total_score - best AS delta FROM ranked WHERE rank > 1 AND total_score - best <= 10.0",
@@ -183,7 +225,7 @@ ORACLE_SQL = {
     "disqualified": f"WITH {SCORED} SELECT first_failure, count(*) AS n, count(DISTINCT doc_id) AS docs FROM scored WHERE first_failure IS NOT NULL GROUP BY 1",
     "run_status_semi_join": f"WITH {CANDIDATES}, ok AS (SELECT doc_id, adapter FROM cands WHERE status = 'ok') SELECT doc_id, adapter, length(md) AS md_chars FROM cands SEMI JOIN ok USING (doc_id, adapter)",
     "promotion": f"WITH {SCORED} SELECT c.doc_id, c.adapter, sha256(c.md) AS md_sha256, c.images FROM (SELECT *, {s.IMAGES} AS images FROM cands) c JOIN ranked r USING (doc_id, adapter) WHERE rank = 1",
-    "observations": f"WITH {OBSERVED} SELECT doc_id, adapter, status, pages, timing_ms, score, coalesce(won, false) AS won FROM obs",
+    "observations": f"WITH {OBSERVED} SELECT doc_id, adapter, status, pages, timing_ms, score, coalesce(won, false) AS won, first_failure FROM obs",
     "matrix_grouping_sets": f"WITH {OBSERVED} SELECT bucket, adapter, attempts, total_pages, raw_successes, gate_passes, wins, total_ms, median_ms, round(mean_score, 6) AS mean_score, round(pages_per_second, 6) AS pages_per_second FROM matrix",
     "quality_tiers": f"WITH {OBSERVED} SELECT bucket, adapter, {_TIER} AS quality_tier, {_SIGNAL} AS default_set_signal FROM matrix",
 }

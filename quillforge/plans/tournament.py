@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillforge.functions.batches import spread
 from quillforge.operators import checks as k
 from quillforge.operators import ranking as r
-from quillforge.operators.repair import repair_candidates
+from quillforge.operators.repair import paragraph_signals, repair_candidates
 from quillforge.operators.traits import html_traits, text_traits
 from quillforge.sources.candidates import candidates, text_to_markdown
 from quillforge.sources.html import convert_pages
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 
 
 def cands(spark: SparkSession, d: str) -> DataFrame:
@@ -45,14 +46,16 @@ def winners(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d).where("rank = 1").select("doc_id", F.col("adapter").alias("winner"), F.col("total_score").alias("winning_score"))
 
 
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """One for each run: status, pages, a time that follows from the text, its gate, score and rank.  Texts are converted and judged
+    once, and only narrow rows are shuffled."""
+    timing = F.when(F.col("adapter") == "garbled", 0).otherwise(F.length("md").cast("long") * 7 % 100_000)
+    return r.standing(scored(spark, d).select("doc_id", "adapter", "status", "pages", timing.alias("timing_ms"), "first_failure", "total_score", F.sha2("md", 256).alias("md_sha256"), "images"))
+
+
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    """One for each run: status, pages, a time that follows from the text, and what became of it."""
-    runs = cands(spark, d).select(
-        "doc_id", "adapter", "status", F.floor(F.size(F.split("source_text", "\n")) / 2).alias("pages"),
-        F.when(F.col("adapter") == "garbled", 0).otherwise(F.length("md").cast("long") * 7 % 100_000).alias("timing_ms"),
-    )
-    standing = ranked(spark, d).select("doc_id", "adapter", F.col("total_score").alias("score"), (F.col("rank") == 1).alias("won"))
-    return runs.join(standing, ["doc_id", "adapter"], "left").withColumn("won", F.coalesce("won", F.lit(False)))
+    score = F.when(F.col("rank").isNotNull(), F.col("total_score"))
+    return runs(spark, d).select("doc_id", "adapter", "status", "pages", "timing_ms", score.alias("score"), F.coalesce(F.col("rank") == 1, F.lit(False)).alias("won"), "first_failure")
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -74,12 +77,11 @@ def _image_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _check_scores(spark: SparkSession, d: str) -> DataFrame:
-    return checked(spark, d).select("doc_id", "adapter", F.explode("checks").alias("x")).select("doc_id", "adapter", F.col("x.name").alias("check_name"), "x.status", "x.issues", "x.score")
+    return checked(spark, d).select("doc_id", "adapter", F.explode("checks").alias("x")).select("doc_id", "adapter", F.col("x.name").alias("check_name"), "x.status", "x.issues", "x.score", "x.violation", "x.severity")
 
 
 def _promotion(spark: SparkSession, d: str) -> DataFrame:
-    best = winners(spark, d).select("doc_id", F.col("winner").alias("adapter"))
-    return cands(spark, d).join(best, ["doc_id", "adapter"]).select("doc_id", "adapter", F.sha2("md", 256).alias("md_sha256"), "images")
+    return runs(spark, d).where("rank = 1").select("doc_id", "adapter", "md_sha256", "images")
 
 
 def _ok_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -98,14 +100,14 @@ QUERIES = {
     "gate_coverage": lambda s, d: judged(s, d).select("doc_id", "adapter", "coverage", (F.col("coverage") >= k.MIN_COVERAGE).alias("passed")),
     "gate_status": lambda s, d: cands(s, d).select("doc_id", "adapter", (F.col("status") == "ok").alias("passed")),
     "gate_first_failure": lambda s, d: gated(s, d).select("doc_id", "adapter", "first_failure"),
-    "text_coverage": lambda s, d: checked(s, d).select("doc_id", "adapter", "coverage", "n_missing_words", F.col("checks")[9]["status"].alias("status")),
+    "text_coverage": lambda s, d: checked(s, d).select("doc_id", "adapter", "coverage", "n_missing_words", F.col("checks")[10]["status"].alias("status")),
     "check_double_bullets": _measure("n_double_bullets"), "check_numbered_lists": _measure("n_list_gaps"), "check_fragmented_headings": _measure("n_fragmented"), "check_caption_near_image": _measure("n_captions"),
-    "check_box_content": _measure("n_boxes"), "check_image_size": _measure("n_sizes"), "check_repeated_headings": _measure("n_repeated"), "check_images_resolvable": _measure("n_unresolved"),
+    "check_row_sliced": _measure("n_sliced"), "check_box_content": _measure("n_boxes"), "check_image_size": _measure("n_sizes"), "check_repeated_headings": _measure("n_repeated"), "check_images_resolvable": _measure("n_unresolved"),
     "image_refs": _image_refs,
-    "image_count_match": lambda s, d: checked(s, d).select("doc_id", "adapter", "n_refs", F.col("checks")[8]["status"].alias("status")),
+    "image_count_match": lambda s, d: checked(s, d).select("doc_id", "adapter", "n_refs", F.col("checks")[9]["status"].alias("status")),
     "check_scores": _check_scores,
     "check_totals": lambda s, d: _check_scores(s, d).groupBy("check_name", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score")),
-    "scorecards": lambda s, d: scored(s, d).select("doc_id", "adapter", "total_score", "fail_count", "warn_count", "pass_count"),
+    "scorecards": lambda s, d: scored(s, d).select("doc_id", "adapter", "total_score", "fail_count", "warn_count", "pass_count", F.col("check_scores")["images_locally_resolvable"].alias("image_score")),
     "ranking": lambda s, d: ranked(s, d).select("doc_id", "adapter", "total_score", "rank"),
     "winners": winners,
     "near_ties": lambda s, d: ranked(s, d).where("rank > 1").select("doc_id", "adapter", (F.col("total_score") - F.col("best")).alias("delta")).where(F.col("delta") <= r.NEAR_TIE),
@@ -116,6 +118,7 @@ QUERIES = {
     "observations": observations,
     "matrix_grouping_sets": lambda s, d: matrix(s, d).select("bucket", "adapter", "attempts", "total_pages", "raw_successes", "gate_passes", "wins", "total_ms", "median_ms", F.round("mean_score", 6).alias("mean_score"), F.round("pages_per_second", 6).alias("pages_per_second")),
     "html_to_markdown": lambda s, d: convert_pages(s.read.parquet(f"{d}/pages.parquet")),
+    "paragraph_signals": lambda s, d: paragraph_signals(cands(s, d).where("status = 'ok'")),
     "paragraph_repair": lambda s, d: repair_candidates(cands(s, d).where("status = 'ok'")),
     "quality_tiers": lambda s, d: (lambda m: m.select("bucket", "adapter", r.quality_tier(m["mean_score"], m["gate_pass_rate"]).alias("quality_tier"), r.default_signal(m).alias("default_set_signal")))(matrix(s, d)),
 }
