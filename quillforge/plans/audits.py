@@ -36,13 +36,13 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
 def violations(spark: SparkSession, d: str) -> DataFrame:
     """Two windows' findings for each check that a candidate doesn't pass."""
     confidence = F.create_map(*[F.lit(x) for n, c in k.CHECKS.items() for x in (n, c[5])])
-    found = t.checked(spark, d).select("doc_id", "adapter", F.posexplode("checks").alias("i", "x")).where("x.status <> 'pass'").withColumn("confidence", confidence[F.col("x.name")])
+    found = t.check_entries(spark, d).where("status <> 'pass'").withColumn("confidence", confidence[F.col("check_name")])
     rows = found.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("w"))
-    text = F.concat(F.lit("Check "), F.col("x.name"))
+    text = F.concat(F.lit("Check "), F.col("check_name"))
     return rows.select(
-        "doc_id", "adapter", (F.col("i") * 2 + F.col("w")).alias("ord"), F.col("x.violation").alias("type"), "x.severity", F.col("x.issues").alias("count"),
+        "doc_id", "adapter", (F.col("at") * 2 + F.col("w")).alias("ord"), F.col("violation").alias("type"), "severity", F.col("issues").alias("count"),
         F.array(F.col("w"), (F.col("w") + F.pmod("doc_id", F.lit(3))).cast("int")).alias("pages"), "confidence",
-        F.when(F.col("w") == 1, text).otherwise(F.upper(F.replace(text, F.lit(" "), F.lit("  ")))).alias("evidence"), F.col("x.violation").alias("cause"),
+        F.when(F.col("w") == 1, text).otherwise(F.upper(F.replace(text, F.lit(" "), F.lit("  ")))).alias("evidence"), F.col("violation").alias("cause"),
     )
 
 

@@ -76,8 +76,14 @@ def _image_refs(spark: SparkSession, d: str) -> DataFrame:
     return refs.select("doc_id", "adapter", F.replace(k.bare_ref(F.col("r")), F.lit("\\"), F.lit("/")).alias("ref"), k.ref_key(F.col("r")).alias("ref_key"), k.ref_problem(F.col("r"), F.col("images")).alias("problem"))
 
 
+def check_entries(spark: SparkSession, d: str) -> DataFrame:
+    """A row per check of each candidate.  inline() and not explode(): fields taken from what explode() gives are pushed below it, each
+    with the whole array again."""
+    return checked(spark, d).select("doc_id", "adapter", F.inline(F.transform("checks", lambda x, i: F.struct(i.alias("at"), x["name"].alias("check_name"), *(x[f].alias(f) for f in ("status", "issues", "score", "violation", "severity"))))))
+
+
 def _check_scores(spark: SparkSession, d: str) -> DataFrame:
-    return checked(spark, d).select("doc_id", "adapter", F.explode("checks").alias("x")).select("doc_id", "adapter", F.col("x.name").alias("check_name"), "x.status", "x.issues", "x.score", "x.violation", "x.severity")
+    return check_entries(spark, d).drop("at")
 
 
 def _promotion(spark: SparkSession, d: str) -> DataFrame:
