@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import textkit as tk
-from quillforge.llm.shared import cut
+from quillforge.llm.shared import cut, small_batches
 
 LENGTH, GRAM, SYMBOL = 200, 64, 8
 #: Runs of a bucket whose counts one task adds up; bytes of text that one merge takes, whole anchors together; symbols of a shard.
-BUCKET_RUNS, MERGE_BYTES, SHARD_SYMBOLS = 1_500_000, 8 << 20, 1 << 16
+BUCKET_RUNS, MERGE_BYTES, SHARD_SYMBOLS = 500_000, 8 << 20, 1 << 16
 #: An anchor with more different runs than this goes string by string through grouped counts instead of through one task's merge.
 MANY_RUNS = 100_000
 #: Up to so many documents are picked by a broadcast of their keys; more by a shuffle.
@@ -270,6 +270,7 @@ def _list_runs(length: int, gram: int):
         for batch in batches:
             keys = batch.column("doc")
             for i, _, offsets, r in _chunked(batch, length, gram):
+                tk.give_back()
                 order = np.lexsort((r.hash, r.doc))
                 h, d = r.hash[order], r.doc[order]
                 same = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
@@ -343,6 +344,7 @@ def _merge_runs(length: int):
                     size += len(row.piece)
         if rows:
             yield flush(rows)
+        tk.give_back()
 
     return run
 
@@ -369,22 +371,25 @@ def _strings(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs: doc (a key of the text), text.  doc and spans, the byte ranges [start, end) that repeated strings cover, as they come."""
     spark = docs.sparkSession
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(1 << 16, max(1, -(-total // ((length - gram) // 2) // BUCKET_RUNS))))
     packed = docs.select("text").mapInArrow(_count_runs(buckets, length, gram), "bucket long, anchors binary, runs binary, counts binary")
-    known = packed.repartition(max(buckets, tasks), "bucket").sortWithinPartitions("bucket").mapInPandas(_sum_runs, "run long, anchor long, twice boolean, merged boolean, many boolean")
+    known = packed.repartition(max(buckets, spark.sparkContext.defaultParallelism), "bucket").sortWithinPartitions("bucket").mapInPandas(_sum_runs, "run long, anchor long, twice boolean, merged boolean, many boolean")
     known = cut(known)
     runs = docs.select("doc", "text").mapInArrow(_list_runs(length, gram), "doc long, run long, start long, n long, lead int")
-    own = runs.where("run is null").select("doc", "start", F.col("n").alias("m"))
-    met = cut(runs.where("run is not null").join(known, "run"))
+    # one scan: runs that a document has settled itself pass the join, spread by a key of their own
+    key = F.coalesce("run", F.xxhash64("doc", "start", F.lit("own")))
+    sides = runs.withColumn("key", key).join(known.withColumnRenamed("run", "key"), "key", "left").drop("key")
+    sides = cut(sides.where("run is null or anchor is not null"))
+    own = sides.where("run is null").select("doc", "start", F.col("n").alias("m"))
+    met = sides.where("run is not null")
     whole = met.where("twice").select("doc", "start", F.col("n").alias("m"))
 
     wanted = met.where("merged").groupBy("run").agg(F.min(F.struct("doc", "start", "n", "lead", "anchor", "twice", "many")).alias("x")).select("run", "x.*")
     wanted = cut(wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "run", "lead", "n", "twice", "many", "start")).alias("wanted")))  # no more than a document's own runs
     texts = _pick(docs.select("doc", "text"), wanted.select("doc")).join(wanted, "doc")
     pieces = texts.mapInArrow(_cut_texts(length), "anchor long, run long, lead int, n long, twice boolean, many boolean, piece binary")
-    merged = pieces.where("not many").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInPandas(_merge_runs(length), "run long, skip long, m long")
+    merged = pieces.where("not many").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_merge_runs(length), "run long, skip long, m long")
     if not met.where("many and merged").isEmpty():
         strings = pieces.where("many").dropDuplicates(["run"]).select("run", "n", "piece").mapInArrow(_strings(length), "string long, run long, skip long")
         twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("string")
@@ -410,6 +415,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LEN
     """
     docs = docs.select(*[f"`{c}`" for c in docs.columns if not c.startswith(prefix)])
     own = docs.columns
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keyed = docs.withColumn(f"{prefix}doc", F.xxhash64(text, F.octet_length(text)))
     spans = cut(repeated_spans(keyed.select(F.col(f"{prefix}doc").alias("doc"), text.alias("text")), length, gram))
