@@ -100,13 +100,13 @@ def _groups(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _named(nodes: DataFrame, variable: int) -> DataFrame:
     """nodes (host, node, s, n, labelled, bad) with t, the branch below node that s goes to."""
-    above = Window.partitionBy("host", "node")
-    total, children = F.sum("n").over(above), F.count(F.lit(1)).over(above)
-    lab, bad = F.sum("labelled").over(above), F.sum("bad").over(above)
-    rate = (bad + 1) / (lab + 2)
+    # a grouped sum and a join, which can be split, and not a window: a node may have very many children
+    above = nodes.groupBy("host", "node").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("lab"), F.sum("bad").alias("all_bad"))
+    nodes = nodes.join(above, ["host", "node"])
+    rate = (F.col("all_bad") + 1) / (F.col("lab") + 2)
     away = F.abs(F.col("bad") - F.col("labelled") * rate) / F.sqrt(F.greatest(F.col("labelled") * rate * (1 - rate), F.lit(1e-9)))
     telling = (F.col("s") != "") & (F.col("labelled") > 0) & ((F.col("labelled") >= TELLING) | (away > DEVIATION))
-    nodes = cut(nodes.select("*", telling.alias("telling"), total.alias("total"), children.alias("children")))
+    nodes = cut(nodes.select("*", telling.alias("telling")))
     # siblings with equal counts are one row of the test
     equal = nodes.where("telling").groupBy("host", "node", "labelled", "bad").agg(F.count(F.lit(1)).alias("m"))
     kind = nodes.schema
