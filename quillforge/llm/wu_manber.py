@@ -134,14 +134,15 @@ def _index(broadcast, window: int) -> Index:
     return held[1]
 
 
-def benchmark_parts(benchmark: DataFrame, id_col: str, text_col: str, part_bytes: int) -> list[list[tuple[str, str]]]:
-    """The test items in parts of about part_bytes each: the size is read first, then each part is fetched on its own."""
+def benchmark_parts(benchmark: DataFrame, id_col: str, text_col: str, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The test items in parts of about part_bytes each: the size is read first, then each part is fetched when it is asked for, so the
+    driver holds one at a time."""
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
     size = items.select(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n = max(1, -(-int(size) // part_bytes))
-    if n == 1:
-        return [[(r.i, r.t) for r in items.toLocalIterator()]]
-    return [[(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toLocalIterator()] for k in range(n)]
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
+        yield [(r.i, r.t) for r in part.toLocalIterator()]
 
 
 def decontaminate(
