@@ -179,14 +179,14 @@ _BRACKET_DOT = rf"\s{{0,3}}[\(\[\{{<]\s{{0,3}}(?:{_DOT_WORDS}|\.)\s{{0,3}}[\)\]\
 _DOT = rf"(?:{_BRACKET_DOT}|\s{{1,3}}(?:{_DOT_WORDS})\s{{1,3}})"
 _AT = re.compile(rf"(?i)(?P<b>{_BRACKET_AT})|\s{{1,3}}(?:{_AT_WORDS})\s{{1,3}}|[^\S\r\n]{{0,3}}@[^\S\r\n]{{0,3}}")
 _DOT_RE = re.compile(f"(?i){_DOT}")
-_DOMAIN_DISGUISED = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[a-z0-9-]{{1,63}}){{0,8}}(?:\.|{_DOT})[a-z]{{2,63}}(?![a-z0-9-])")
-_LOCAL_DISGUISED = re.compile(rf"(?i)[a-z0-9._%+-]+(?:{_DOT}[a-z0-9._%+-]+)*$")
+_DOMAIN_DISGUISED = re.compile(rf"(?i)[a-z0-9-]++(?:(?:\.|{_DOT})[a-z0-9-]++)*(?:\.|{_DOT})[a-z]{{2,}}+(?![a-z0-9-])")
+_DOT_BEHIND = re.compile(f"(?i){_DOT}$")
+#: characters of the longest _DOT
+_DOT_CHARS = 20
 _IP_DISGUISED = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
 #: one of these is in every text that the third transducer changes
 _HINTS = tuple(f"{o}{w}" for w in [*_DOT_WORDS.split("|"), *_AT_WORDS.split("|"), ".", "@"] for o in "([{<") + tuple(f" {w} " for w in _DOT_WORDS.split("|"))
 _SPACED = re.compile(rf"(?i)[\(\[\{{<]\s{{1,3}}(?:{_AT_WORDS}|{_DOT_WORDS}|[.@])|\s(?:{_DOT_WORDS})\s|\s@|@\s")
-#: characters before an "at" that the local part may take up
-_REACH = 96
 
 
 def look_alikes(t: Rewritten) -> Rewritten:
@@ -229,6 +229,22 @@ def spelled_digits(t: Rewritten, segments: list[list[re.Match]], dotted: bool =
     return t.apply(edits)
 
 
+def _local_dots(text: str, low: int, end: int) -> list[tuple[int, int]] | None:
+    """Disguised dots of the local part that ends at `end`, however long it is, or None if there is no local part."""
+    dots, at = [], end
+    while True:
+        part = at
+        while at > low and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == part:  # nothing before a dot: it isn't one
+            return None if part == end else dots[1:]
+        from_ = max(low, at - _DOT_CHARS)
+        if not (m := _DOT_BEHIND.search(text[from_:at])):
+            return dots
+        dots.insert(0, (from_ + m.start(), at))
+        at = from_ + m.start()
+
+
 def at_and_dot(t: Rewritten) -> Rewritten:
     """An "at" in brackets and a "@" with spaces need a domain after them that ends in letters; a bare "at" also a disguised dot."""
     text, edits, last = t.text, [], 0
@@ -238,10 +254,9 @@ def at_and_dot(t: Rewritten) -> Rewritten:
         dots = [(x.start(), x.end(), ".") for x in _DOT_RE.finditer(text, d.start(), d.end())]
         if m["b"] is None and not dots and not ("@" in m[0] and len(m[0]) > 1):
             continue
-        low = max(last, m.start() - _REACH)
-        if not (a := _LOCAL_DISGUISED.search(text[low : m.start()])):
+        if (local := _local_dots(text, last, m.start())) is None:
             continue
-        edits += [(low + a.start() + x.start(), low + a.start() + x.end(), ".") for x in _DOT_RE.finditer(a[0])]
+        edits += [(a, b, ".") for a, b in local]
         edits += [(m.start(), m.end(), "@"), *dots]
         last = d.end()
     out = t.apply(edits)

@@ -100,3 +100,11 @@ def test_query_digest(spark, tmp_path):
 )
 def test_spelled_digits_in_any_run(text, want):
     assert found(text) == want
+
+
+def test_parts_of_any_length_are_found():
+    local, label = "x" * 300 + ".y", "z" * 90
+    text = f"write to {local} dot q (at) {label} dot {'sub dot ' * 12}example dot org now"
+    (kind, a, b), = added_spans(text, base_spans(text))
+    assert kind == "email" and text[a:b].startswith(local) and text[a:b].endswith("example dot org")
+    assert added_spans("dot (at) nothing", []) == [] and added_spans(" dot x (at) host dot org", []) == [("email", 5, 24)]
