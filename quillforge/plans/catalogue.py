@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillforge.plans import audits, oracle, tournament
+from quillforge.plans import audits, documents, oracle, tournament
 
-QUERIES = {**tournament.QUERIES, **audits.QUERIES}
-ORACLE_SQL = {**oracle.ORACLE_SQL, **audits.ORACLE_SQL}
+QUERIES = {**tournament.QUERIES, **audits.QUERIES, **documents.QUERIES}
+ORACLE_SQL = {**oracle.ORACLE_SQL, **audits.ORACLE_SQL, **documents.ORACLE_SQL}
 #: Queries that SQL can't express.
-WITHOUT_SQL = ("html_to_markdown", "paragraph_repair")
+WITHOUT_SQL = ("html_to_markdown", "paragraph_repair", *documents.WITHOUT_SQL)
