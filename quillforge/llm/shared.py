@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not (own := getattr(spark.sparkContext, "_own_shared_dir", None)):
         own = f"file://{tempfile.mkdtemp(prefix='shared-')}"
