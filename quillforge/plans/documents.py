@@ -10,6 +10,8 @@ from quillforge.operators import blocks as b
 from quillforge.operators import pages as p
 from quillforge.operators import reports as r
 from quillforge.operators import responses as j
+from quillforge.operators import traits as v
+from quillforge.operators.traits import pdf_traits
 from quillforge.plans import audits as u
 from quillforge.plans import oracle as o
 from quillforge.plans import tournament as t
@@ -32,7 +34,7 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
         .when(v == 3, text(lit("Figure "), n, lit(". "), F.left(l, lit(40)))).when(v == 4, text(lit("1.\nfirst "), F.left(l, lit(20)), lit("\n2. \nsecond\n3) third"))).when(v == 5, "Running head").otherwise(l)
     )
     size = F.when(v == 2, 18 + F.pmod(i, lit(3)) * 0.5).when(v == 5, 16.2).otherwise(10.0)
-    x0, y0 = F.when(i % 2 == 0, 50.0).otherwise(350.0), F.pmod(i, lit(4)) * 100.0
+    x0, y0 = F.when(i % 2 == 0, 50.0).otherwise(380.0), F.pmod(i, lit(4)) * 100.0
     return lines.select("doc_id", "ord", (F.floor(i / 4) + 1).cast("int").alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 200).alias("x1"), (y0 + 60).alias("y1"), body.alias("text"), size.cast("double").alias("avg_font_size"), lit(600.0).alias("page_width"))
 
 
@@ -113,6 +115,7 @@ QUERIES = {
     "heading_levels": lambda s, d: b.heading_levels(b.without_running(_kinds(s, d))),
     "caption_images": lambda s, d: b.caption_images(_kinds(s, d), image_blocks(s, d)),
     "block_markdown": lambda s, d: b.rendered(b.without_running(_kinds(s, d))).select("doc_id", "ord", "md"),
+    "pdf_traits": lambda s, d: pdf_traits(_kinds(s, d), image_blocks(s, d)),
     "pdf_to_markdown": lambda s, d: b.assembled(text_blocks(s, d), image_blocks(s, d)),
     "source_formats": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat(F.lit("Dir.x/file"), _pick(SUFFIXES, F.col("page_id"))).alias("path")).select("page_id", r.source_format(F.col("path")).alias("format")),
     "normal_pages": lambda s, d: r.normal_lines(furnished(s, d)).groupBy("doc_id", "side", "page").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars")),
@@ -143,7 +146,7 @@ _BLOCKS = f"""
 kept AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_FLAT('x')}), lambda x: x <> '') AS ls FROM documents),
 flatrows AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS l FROM kept),
 tb AS (
-  SELECT doc_id, CAST(i AS INTEGER) AS ord, CAST(i // 4 + 1 AS INTEGER) AS page, CASE WHEN i % 2 = 0 THEN 50.0::DOUBLE ELSE 350.0 END AS x0, (i % 4) * 100.0::DOUBLE AS y0, 600.0::DOUBLE AS page_width,
+  SELECT doc_id, CAST(i AS INTEGER) AS ord, CAST(i // 4 + 1 AS INTEGER) AS page, CASE WHEN i % 2 = 0 THEN 50.0::DOUBLE ELSE 380.0 END AS x0, (i % 4) * 100.0::DOUBLE AS y0, 600.0::DOUBLE AS page_width,
     CASE v WHEN 0 THEN '- ' || left(l, 60) || chr(10) || '- next item ' || i WHEN 1 THEN left(l, 60) || ' | a | b' WHEN 2 THEN 'Section ' || i || ' ' || left(l, 30) WHEN 3 THEN 'Figure ' || i || '. ' || left(l, 40)
       WHEN 4 THEN '1.' || chr(10) || 'first ' || left(l, 20) || chr(10) || '2. ' || chr(10) || 'second' || chr(10) || '3) third' WHEN 5 THEN 'Running head' ELSE l END AS text,
     CASE v WHEN 2 THEN 18 + (i % 3) * 0.5::DOUBLE WHEN 5 THEN 16.2::DOUBLE ELSE 10.0::DOUBLE END AS size
@@ -182,6 +185,15 @@ ORACLE_SQL = {
     "heading_levels": f"WITH {_BLOCKS} SELECT * FROM levels",
     "caption_images": f"WITH {_BLOCKS} SELECT k.doc_id, k.page, k.ord, ib.ord AS image_ord, 'images/i' || ib.ord || '.png' AS filename FROM kinds k JOIN ib USING (doc_id, page) WHERE caption QUALIFY row_number() OVER (PARTITION BY k.doc_id, k.ord ORDER BY mid <= y_mid DESC, abs(mid - y_mid), ib.col, mid, ib.ord) = 1",
     "block_markdown": f"WITH {_BLOCKS} SELECT doc_id, ord, {_RENDERED} AS md FROM (SELECT c.*, level FROM (SELECT *, round_even(size * 2, 0) / 2 AS bucket FROM clean) c LEFT JOIN levels USING (doc_id, bucket))",
+    "pdf_traits": f"""WITH {_BLOCKS}, pg AS (SELECT doc_id, page, CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words, count(*) FILTER (kind = 'table') AS tables, bool_or(regexp_matches(text, {q(o._MATH)})) AS math,
+        count(*) FILTER (length(trim(text)) > {v.COLUMN_CHARS} AND x0 < page_width * {v.LEFT_PART}) >= 2 AND count(*) FILTER (length(trim(text)) > {v.COLUMN_CHARS} AND x0 > page_width * {v.LEFT_PART} + page_width * {v.COLUMN_GAP}) >= 2 AS split FROM kinds GROUP BY ALL),
+      pn AS (SELECT *, max(page) OVER (PARTITION BY doc_id) AS n FROM pg),
+      lk AS (SELECT *, CASE WHEN n <= {v.TABLE_PAGES} OR list_contains(list_transform(range(0, {v.TABLE_PAGES}), lambda i: CAST(round_even(i * (n - 1) / {v.TABLE_PAGES - 1}.0::DOUBLE, 0) AS BIGINT)), page - 1) THEN tables ELSE 0 END AS looked FROM pn),
+      ct AS (SELECT *, CASE WHEN coalesce(sum(looked) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {v.TABLE_HEAVY} THEN looked ELSE 0 END AS counted FROM lk),
+      dc AS (SELECT doc_id, max(n) AS page_count, CAST(sum(words) AS BIGINT) AS word_count, CAST(sum(counted) AS BIGINT) AS table_count, bool_or(math) AS has_math, count(*) FILTER (split) AS split FROM ct GROUP BY 1),
+      im AS (SELECT doc_id, count(DISTINCT ord) AS image_count FROM ib GROUP BY 1)
+      SELECT doc_id, page_count, image_count, table_count, word_count, word_count::DOUBLE / page_count < {v.SCANNED_WORDS} AND image_count > 0 AS is_scanned, image_count::DOUBLE / page_count >= {v.IMAGES_A_PAGE} AS is_image_heavy, table_count >= {v.TABLE_HEAVY} AS is_table_heavy,
+        split::DOUBLE / page_count >= {v.COLUMN_SHARE} AS is_multi_column, image_count = 0 AS is_text_only, has_math FROM (SELECT dc.*, coalesce(im.image_count, 0) AS image_count FROM dc LEFT JOIN im USING (doc_id))""",
     "source_formats": f"SELECT page_id, CASE {' '.join(f'WHEN x IN {tuple([*e, *e][:max(2, len(e))])} THEN {q(n)}' for n, e in r.FORMATS.items())} END AS format FROM (SELECT page_id, lower({SUFFIXES}[page_id % {len(SUFFIXES)} + 1]) AS x FROM pages)",
     "normal_pages": f"""WITH {u._PAGES}, every AS (SELECT doc_id, side, page, line FROM lines UNION ALL SELECT doc_id, side, page, unnest({_EXTRA}) FROM (SELECT DISTINCT doc_id, side, page FROM lines)),
       kept AS (SELECT doc_id, side, page, {_FLAT('line')} AS line FROM every WHERE {_FLAT('line')} <> '' AND NOT regexp_matches({_FLAT('line')}, '{r.NUMBER_LINE}|{r.DATE_LINE}|{r.PAGE_LINE}|{r.SOURCE_LINE}')),

@@ -101,3 +101,13 @@ def test_markdown_table(spark):
     assert r.markdown_table(rows, ["p", "q", "n"], [F.col("n")]) == "| p | q | n |\n| --- | --- | --- |\n| a\\|b | x y | 1 |\n|  | z | 2 |"
     kinds = spark.createDataFrame([("a/B.PDF",), ("x.tar.htm",), ("none",), ("dir.txt/file",)], "path string").select(r.source_format(F.col("path"))).collect()
     assert [k[0] for k in kinds] == ["pdf", "html", None, None]
+
+
+def test_traits_of_pdf_sources(spark):
+    from quillforge.operators.traits import pdf_traits
+
+    long = "words enough to be a real block"
+    texts = [block(i, 1, long, x0=x) for i, x in enumerate((50.0, 60.0, 400.0, 410.0))] + [block(10 + i, 2 + i, "a | b | c | \\frac") for i in range(3)]
+    images = [(1, 1, 1, 0.0, 0.0, 10.0, 10.0, "a.png", 600.0), (1, 2, 2, 0.0, 0.0, 10.0, 10.0, "a.png", 600.0)]
+    (row,) = pdf_traits(b.classified(spark.createDataFrame(texts, TEXT)), spark.createDataFrame(images, IMAGE)).collect()
+    assert row.asDict() == {"doc_id": 1, "page_count": 4, "image_count": 1, "table_count": 2, "word_count": 49, "is_scanned": True, "is_image_heavy": False, "is_table_heavy": True, "is_multi_column": True, "is_text_only": False, "has_math": True}
