@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillforge.llm.shared import small_batches
+
 #: Candidates of a range (a row of packed data), candidates of a block, queries of a group.
 RANGE, BLOCK, GROUP = 1 << 12, 256, 1 << 11
 #: Candidates for each query, for the shape of the grid of tasks.
@@ -35,7 +37,7 @@ def quantise(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def pack_rows(vectors: DataFrame, rows: int) -> DataFrame:
-    """Rows of up to `rows` vectors each: n, dimension, ids and weights as little-endian 64-bit integers."""
+    """Rows of up to `rows` vectors each: n, dimension, ids as little-endian 64-bit integers and weights as of weights_packed()."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
@@ -53,7 +55,27 @@ def pack_rows(vectors: DataFrame, rows: int) -> DataFrame:
 
 def _packed(dim: int, ids: list, vs: list) -> pd.DataFrame:
     w = np.array(vs, np.int64).reshape(len(ids), dim)
-    return pd.DataFrame({"dim": [dim], "n": [len(ids)], "ids": [np.array(ids, np.int64).tobytes()], "w": [w.tobytes()]})
+    return pd.DataFrame({"dim": [dim], "n": [len(ids)], "ids": [np.array(ids, np.int64).tobytes()], "w": [weights_packed(w)]})
+
+
+def weights_packed(w: np.ndarray) -> bytes:
+    """The least weight of each term, then what the weights are above it: their lowest bytes, their second lowest and so on, as far as any
+    isn't 0.  Copies of these rows are most of what is shuffled, and small weights take one byte and not eight."""
+    if not w.size:
+        return b""
+    low = w.min(axis=0)
+    planes = (w - low).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    used = np.flatnonzero(planes.any(axis=1))
+    return low.astype("<i8").tobytes() + planes[: used[-1] + 1 if len(used) else 0].tobytes()
+
+
+def weights_of(raw: bytes, n: int, dim: int) -> np.ndarray:
+    if not n * dim:
+        return np.zeros((n, dim), np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=8 * dim).reshape(-1, n * dim)
+    above = np.zeros((n * dim, 8), np.uint8)
+    above[:, : len(planes)] = planes.T
+    return above.view("<i8").reshape(n, dim) + np.frombuffer(raw, "<i8", dim)
 
 
 class Range:
@@ -126,6 +148,7 @@ def top_k(embeddings: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_c
     task holds more than a group and a range, and each pair gives k rows for each query.
     """
     spark = embeddings.sparkSession
+    small_batches(spark)
     vectors = quantise(embeddings, id_col, vector_col)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     columns = min(tasks, max(1, round((tasks * QUERY_SHARE) ** 0.5)))  # of the grid of tasks: sends the fewest bytes for that many
@@ -140,14 +163,13 @@ def top_k(embeddings: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_c
         for frame in frames:
             for row in frame.itertuples(index=False):
                 if held[0] != row.c_ids:
-                    w = np.frombuffer(row.c_w, np.int64).reshape(row.c_n, row.dim)
-                    held = (row.c_ids, Range(np.frombuffer(row.c_ids, np.int64), w))
+                    held = (row.c_ids, Range(np.frombuffer(row.c_ids, np.int64), weights_of(row.c_w, row.c_n, row.dim)))
                 ids = np.frombuffer(row.ids, np.int64)
-                best = search(held[1], ids, np.frombuffer(row.w, np.int64).reshape(row.n, row.dim), k)
+                best = search(held[1], ids, weights_of(row.w, row.n, row.dim), k)
                 real = best.id.ravel() != np.iinfo(np.int64).max
                 yield pd.DataFrame({"query_id": np.repeat(ids, k)[real], "vec_id": best.id.ravel()[real], "score": best.score.ravel()[real]})
 
-    pairs = groups.join(ranges, ["dim", "x", "y"])
+    pairs = ranges.join(groups, ["dim", "x", "y"])  # in this order a range meets its groups one after the other, and is indexed once
     found = pairs.mapInPandas(score, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,10 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillforge.llm.topk import top_k
+from quillforge.llm.topk import pack_rows, quantise, top_k, weights_of, weights_packed
 
 
 def brute(rows, k, every):
@@ -42,3 +43,19 @@ def test_few_candidates_and_none(spark):
     big = [(i, [1e6 * (i + 1), 3.0], "x") for i in range(3)]  # beyond exact floating point
     got = top_k(frame(spark, big), is_query=F.col("id") == 0)
     assert sorted(map(tuple, got.collect())) == brute([r[:2] for r in big], 5, 50)
+
+
+def test_small_weights_are_packed_in_a_byte(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-0.4, 0.4) for _ in range(64)], "x") for i in range(500)]
+    packed = pack_rows(quantise(frame(spark, rows), "vec_id", "embedding").coalesce(1), 4096).collect()
+    assert sum(len(r.w) for r in packed) <= 500 * 64 + 8 * 64
+    want = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows}
+    assert {i: v for r in packed for i, v in zip(np.frombuffer(r.ids, np.int64).tolist(), weights_of(r.w, r.n, r.dim).tolist(), strict=True)} == want
+
+
+def test_weights_of_any_size():
+    rng = np.random.default_rng(2)
+    ends = np.array([[np.iinfo(np.int64).min, 3], [np.iinfo(np.int64).max, 3], [-1, 3]])
+    for w in (ends, np.zeros((4, 0), np.int64), np.full((3, 2), -7), *(rng.integers(-(1 << b), 1 << b, (9, 5)) for b in (0, 7, 8, 15, 40, 62))):
+        assert (weights_of(weights_packed(w), *w.shape) == w).all()
